@@ -124,6 +124,27 @@ def _by_month(t: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, list[np.n
     return months, [np.add.reduceat(v[order], first, axis=0) for v in values]
 
 
+def _array_rows(keys: Sequence[int], values: Sequence[np.ndarray]) -> pa.RecordBatch:
+    """(k, v) rows, v a list column."""
+    ends = np.cumsum([0, *[len(v) for v in values]]).astype(np.int32)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys, pa.int32()),
+         pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))], ["k", "v"])
+
+
+def sum_arrays(parts: DataFrame, max_keys: int = MAX_MONTHS) -> tuple[np.ndarray, np.ndarray]:
+    """Element-wise sums per key of the partition results, as (sorted keys, matrix)."""
+    table = parts.select("k", F.posexplode("v").alias("i", "x")).groupBy("k", "i").agg(
+        F.sum("x").alias("x")).toArrow()
+    k, i, x = (table.column(c).to_numpy() for c in ("k", "i", "x"))
+    keys, row = np.unique(k, return_inverse=True)
+    if len(keys) > max_keys:
+        raise ValueError(f"more than {max_keys} distinct durations")
+    out = np.zeros((len(keys), int(i.max()) + 1 if len(i) else 0))
+    out[row, i] = x
+    return keys, out
+
+
 class Design:
     """Cached (t, e, x) rows. ``x`` is one array column so that Arrow hands it over as a matrix."""
 
@@ -153,8 +174,6 @@ class Design:
                    shift: float = 0.0) -> MonthSums:
         """One pass: ``score`` maps the raw x matrix to (z, eta) with ``q`` columns in z."""
         p = self.p
-        names = ["w", "we", "ee", "d", *[f"wx{i}" for i in range(q)],
-                 *[f"wex{i}" for i in range(q)], *[f"ex{i}" for i in range(q)]]
 
         def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total: dict[int, np.ndarray] = {}
@@ -172,23 +191,13 @@ class Design:
                 for m, s in zip(months.tolist(), sums):
                     total[m] = total[m] + s if m in total else s
             if total:
-                months = sorted(total)
-                block = np.stack([total[m] for m in months])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(months, pa.int32()), *[pa.array(block[:, i])
-                                                     for i in range(block.shape[1])]],
-                    names=["t", *names])
-
-        schema = ", ".join(["t int", *[f"{n} double" for n in names]])
-        agg = self.rows.mapInArrow(part, schema).groupBy("t").agg(
-            *[F.sum(n).alias(n) for n in names])
-        rows = sorted(bounded_collect(agg, MAX_MONTHS, "distinct durations"))
-        block = np.array([r[1:] for r in rows], dtype=float).reshape(len(rows), -1)
+                yield _array_rows(list(total), list(total.values()))
+
+        months, block = sum_arrays(self.rows.mapInArrow(part, "k int, v array<double>"))
         s, v = block[:, :4], block[:, 4:]
         return MonthSums(
-            t=np.array([r[0] for r in rows]), d=np.rint(s[:, 3]), s0=_suffix(s[:, 0]), t0=s[:, 1],
-            event_eta=s[:, 2], s1=_suffix(v[:, :q]), t1=v[:, q:2 * q], event_x=v[:, 2 * q:],
-            shift=shift)
+            t=months, d=np.rint(s[:, 3]), s0=_suffix(s[:, 0]), t0=s[:, 1], event_eta=s[:, 2],
+            s1=_suffix(v[:, :q]), t1=v[:, q:2 * q], event_x=v[:, 2 * q:], shift=shift)
 
     def gram(self, score: Callable, q: int, sums: MonthSums) -> np.ndarray:
         """Second pass: sum of w*(A(t) - e*B(t)) * z z' over all rows."""
@@ -205,14 +214,10 @@ class Design:
                 at = np.searchsorted(months, b.column(0).to_numpy())
                 c = np.exp(eta - shift) * (a[at] - b.column(1).to_numpy() * b_t[at])
                 total += (z * c[:, None]).T @ z
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(q), pa.int32()), *[pa.array(total[:, j]) for j in range(q)]],
-                names=["k", *[f"g{j}" for j in range(q)]])
-
-        schema = ", ".join(["k int", *[f"g{j} double" for j in range(q)]])
-        got = self.rows.mapInArrow(part, schema).groupBy("k").agg(
-            *[F.sum(f"g{j}").alias(f"g{j}") for j in range(q)]).orderBy("k").collect()
-        return np.array([r[1:] for r in got], dtype=float)
+            yield _array_rows([0], [total.ravel()])
+
+        _, block = sum_arrays(self.rows.mapInArrow(part, "k int, v array<double>"))
+        return block[0].reshape(q, q)
 
 
 # ---- model ----------------------------------------------------------------------------------
