@@ -33,8 +33,8 @@ def bucket_edges(df: DataFrame, column: str, buckets: int) -> list[float]:
     if buckets < 2:
         return []
     probs = [i / buckets for i in range(1, buckets)]
-    edges = df.stat.approxQuantile(column, probs, 1.0 / (4 * buckets))
-    return sorted(set(edges))
+    edges = df.agg(F.percentile_approx(column, probs, 4 * buckets)).first()[0]
+    return sorted(set(edges or []))
 
 
 def with_bucket(df: DataFrame, column: str, edges: Sequence[float], out: str = "__bucket"

@@ -13,7 +13,7 @@ from loanlife.operators import metrics as E
 from loanlife.operators.neural import MlpWeights, mlp_cox_fit, mlp_log_risk
 from loanlife.plans.fixtures import Data
 from loanlife.plans.modelling import (_splits_sql, cox_rows, labelled_splits,
-                                      modelling_rows)
+                                      modelling_rows, stored_macro_rows, stored_rows)
 from loanlife.plans.protocol import run_protocol
 from loanlife.plans.registry import query, rounded
 from loanlife.sources.sinks import write_handoff, write_predictions
@@ -141,7 +141,7 @@ def replace_models(d: Data) -> DataFrame:
 def binary_design(d: Data) -> tuple[DataFrame, list[str]]:
     """Encoded, complete rows of all splits with their labels; scaling is learnt on train."""
     rows, names = T.one_hot(
-        labelled_splits(d, modelling_rows(d).drop("split")).drop("first_payment_date"),
+        labelled_splits(d, stored_macro_rows(d)),
         [c for c in K.CATEGORICAL_FEATURES if c != "state"])
     features = sorted([c for c in K.STATIC_FEATURES + K.MACRO_FEATURES
                        if c not in K.CATEGORICAL_FEATURES] + names)
@@ -163,7 +163,7 @@ def _evaluate(model, df: DataFrame, name: str) -> DataFrame:
 def ml_logistic(d: Data) -> DataFrame:
     rows, features = binary_design(d)
     data = M.assemble(scaled(rows, features), features)
-    model = M.fit_logistic(data.where("split = 'train'"), "label")
+    model = M.fit_logistic(data.where("split = 'train'"), "label", max_iter=30)
     return rounded(_evaluate(model, data, "L1 logistic"))
 
 
@@ -171,7 +171,8 @@ def ml_logistic(d: Data) -> DataFrame:
 def ml_logistic_coefs(d: Data) -> DataFrame:
     rows, features = binary_design(d)
     train = M.assemble(scaled(rows, features), features).where("split = 'train'")
-    return rounded(M.odds_table(M.fit_logistic(train, "label"), features, d.spark))
+    model = M.fit_logistic(train, "label", max_iter=30)
+    return rounded(M.odds_table(model, features, d.spark))
 
 
 @query("ml_random_forest")
@@ -227,7 +228,8 @@ def mlp_log_risk_query(d: Data) -> DataFrame:
 
 @query("deep_cox_history")
 def deep_cox_history(d: Data) -> DataFrame:
-    rows = cox_rows(d).select(K.ID, K.TIME, K.EVENT, "fico", "ltv", "dti", "orig_rate", "channel")
+    rows = stored_rows(d).select(K.ID, K.TIME, K.EVENT, "fico", "ltv", "dti", "orig_rate",
+                                 "channel")
     tagged = T.stratified_split(rows, K.ID, K.EVENT, {"train": 0.85, "val": 0.15})
     train, val = tagged.where("split = 'train'"), tagged.where("split = 'val'")
     prep = T.Preprocessor.fit(train, ["fico", "ltv", "dti", "orig_rate", "channel"])
@@ -239,7 +241,7 @@ def deep_cox_history(d: Data) -> DataFrame:
 @query("protocol")
 def protocol(d: Data) -> DataFrame:
     """Both models from the early vintages, scored on the three later evaluation sets."""
-    rows = modelling_rows(d).drop("first_payment_date")
+    rows = modelling_rows(d)
     features = ["fico", "ltv", "dti", "orig_rate", "loan_purpose", "channel", *K.MACRO_FEATURES]
     part = lambda s: rows.where(F.col("split") == s).select(K.ID, K.TIME, K.EVENT, *features)
     horizons = {"test": 60, "backtest_a": 24, "backtest_b": 12}

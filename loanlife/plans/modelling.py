@@ -18,7 +18,7 @@ from loanlife.plans.describe import cut_sql, group_column
 from loanlife.plans.fixtures import HORIZONS, SPLIT_YEARS, Data
 from loanlife.plans.registry import query, rounded
 from loanlife.plans.sensitivity import sensitivity_grid
-from loanlife.support import scratch_path
+from loanlife.support import materialize, scratch_path
 
 COX = ["fx_cox"]
 NUMERIC = ["fico", "ltv", "dti", "orig_rate"]
@@ -39,10 +39,23 @@ def scored_rows(d: Data) -> DataFrame:
     return cox_rows(d).withColumn("eta", X.linear_log_risk(BETA, CENTRE))
 
 
+MODEL_COLUMNS = [K.ID, K.TIME, K.EVENT, *K.STATIC_FEATURES]
+
+
+def stored_rows(d: Data) -> DataFrame:
+    """The loans a model is fitted on, written once because fitting reads them many times."""
+    return materialize(cox_rows(d).select(*MODEL_COLUMNS), "model-rows")
+
+
+def stored_macro_rows(d: Data) -> DataFrame:
+    rows = cox_rows(d).select(*MODEL_COLUMNS, "first_payment_date")
+    rows = T.macro_features(rows, d.macro).select(*MODEL_COLUMNS, *K.MACRO_FEATURES)
+    return materialize(rows, "model-macro-rows")
+
+
 def modelling_rows(d: Data) -> DataFrame:
     """Static and macro features with duration, event and split tag."""
-    rows = T.macro_features(cox_rows(d), d.macro)
-    return T.tag_splits(rows, SPLIT_YEARS)
+    return T.tag_splits(stored_macro_rows(d), SPLIT_YEARS)
 
 
 # ---- labels and splits -----------------------------------------------------------------------
@@ -190,7 +203,7 @@ SELECT t.loan_seq_num, {PREP_SQL},
 {_dummies('loan_purpose', ['C', 'N', 'P'], 't.loan_purpose')}
 FROM fx_cox t, m, z WHERE t.vintage_year >= 2000""", COX)
 def preprocess_matrix(d: Data) -> DataFrame:
-    rows = cox_rows(d)
+    rows = stored_rows(d)
     prep = T.Preprocessor.fit(rows.where("vintage_year < 2000"),
                               [*PREP_NUM, "channel", "loan_purpose"])
     return rounded(prep.transform(rows.where("vintage_year >= 2000"), ["loan_seq_num"]))
@@ -283,7 +296,8 @@ SELECT 'censored_later' AS rule, round(CAST(sum(n * c) / sum(n) AS DOUBLE), 6) A
 UNION ALL SELECT 'skip', round(CAST(sum(n * c) / sum(n) AS DOUBLE), 6) FROM p WHERE strict""", COX)
 def concordance_index(d: Data) -> DataFrame:
     from loanlife.operators.concordance import concordance
-    rows = scored_rows(d).withColumn("eta", F.round("eta", 2))
+    rows = materialize(scored_rows(d).select(K.TIME, K.EVENT, F.round("eta", 2).alias("eta")),
+                       "scored")
     out = [(rule, concordance(rows, "eta", ties=rule)) for rule in ("censored_later", "skip")]
     return rounded(d.spark.createDataFrame(out, "rule string, c_index double"))
 
@@ -401,7 +415,7 @@ def pair_sql(penalizer: float = 0.01, steps: int = 7) -> str:
 
 @query("cox_fit_pair", pair_sql(), COX)
 def cox_fit_pair(d: Data) -> DataFrame:
-    model = cox_fit(cox_rows(d), PAIR)
+    model = cox_fit(cox_rows(d).select(K.TIME, K.EVENT, *PAIR), PAIR)
     return rounded(model.summary(d.spark).select("feature", "coef", "hazard_ratio", "se"))
 
 
@@ -411,7 +425,7 @@ STATIC = [c for c in K.STATIC_FEATURES if c != "state"]
 def static_design(d: Data) -> tuple[DataFrame, list[str]]:
     """Complete static rows with indicators for the categories."""
     cats = [c for c in K.CATEGORICAL_FEATURES if c in STATIC]
-    rows = cox_rows(d).select(K.ID, K.TIME, K.EVENT, *STATIC)
+    rows = stored_rows(d).select(K.ID, K.TIME, K.EVENT, *STATIC)
     encoded, names = T.one_hot(rows, cats)
     features = [c for c in STATIC if c not in cats] + names
     return encoded.dropna(subset=features), features
@@ -419,8 +433,7 @@ def static_design(d: Data) -> tuple[DataFrame, list[str]]:
 
 def macro_design(d: Data) -> tuple[DataFrame, list[str]]:
     cats = [c for c in K.CATEGORICAL_FEATURES if c in STATIC]
-    rows = T.macro_features(cox_rows(d), d.macro).select(K.ID, K.TIME, K.EVENT, *STATIC,
-                                                         *K.MACRO_FEATURES)
+    rows = stored_macro_rows(d).drop("state")
     encoded, names = T.one_hot(rows, cats)
     features = [c for c in STATIC if c not in cats] + names + K.MACRO_FEATURES
     return encoded.dropna(subset=features), features
@@ -454,7 +467,7 @@ def cox_baseline(d: Data) -> DataFrame:
 @query("score_from_saved")
 def score_from_saved(d: Data) -> DataFrame:
     """Fit on the early vintages, store, load again and score the late ones at three horizons."""
-    rows = cox_rows(d)
+    rows = stored_rows(d)
     train = rows.where("vintage_year < 2000")
     prep = T.Preprocessor.fit(train, ["fico", "ltv", "dti", "orig_rate", "loan_purpose",
                                       "channel"]).dropping_references()

@@ -33,6 +33,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several passes will read into the shared folder, and read it back.
+
+    Later passes then scan only the columns they need, and lost executors cost a re-read of
+    files instead of the joins and aggregations above them.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
     """Turn ``df`` into an in-memory relation when it has at most ``max_rows`` rows.
 
