@@ -150,6 +150,8 @@ class Design:
 
     def __init__(self, df: DataFrame, time: str, event: str, features: Sequence[Column]):
         self.p = len(features)
+        self._moments: tuple | None = None
+        self.null_loglik: dict[bool, float] = {}
         self.rows = df.select(
             F.col(time).cast("int").alias("t"), F.col(event).cast("double").alias("e"),
             F.array(*[f.cast("double") for f in features]).alias("x"),
@@ -160,6 +162,8 @@ class Design:
 
     def moments(self) -> tuple[int, int, np.ndarray, np.ndarray]:
         """Row count, events, mean and sample standard deviation of every feature."""
+        if self._moments is not None:
+            return self._moments
         xs = [F.get("x", F.lit(i)) for i in range(self.p)]
         row = self.rows.agg(F.count(F.lit(1)), F.sum("e"), *[F.avg(x) for x in xs],
                             *[F.stddev_samp(x) for x in xs]).first()
@@ -168,7 +172,9 @@ class Design:
         mean, sd = row[2:2 + self.p], row[2 + self.p:]
         if any(m is None for m in mean):
             raise ValueError("a feature has no values")
-        return int(row[0]), int(row[1]), np.array(mean), np.array([v or 0.0 for v in sd])
+        self._moments = (int(row[0]), int(row[1]), np.array(mean),
+                         np.array([v or 0.0 for v in sd]))
+        return self._moments
 
     def month_sums(self, score: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], q: int,
                    shift: float = 0.0) -> MonthSums:
@@ -345,7 +351,7 @@ class CoxModel:
 
 
 def _newton(design: Design, mean: np.ndarray, sd: np.ndarray, n: int, penalizer: float,
-            efron: bool, max_iter: int, tol: float):
+            efron: bool, max_iter: int, tol: float, start: np.ndarray | None):
     q = len(mean)
 
     def scored(beta: np.ndarray):
@@ -360,8 +366,13 @@ def _newton(design: Design, mean: np.ndarray, sd: np.ndarray, n: int, penalizer:
         return sums, sums.loglik() - n * penalizer / 2 * float(beta @ beta)
 
     beta = np.zeros(q)
-    sums, value = evaluate(beta)
-    null = sums.loglik()
+    if start is None or efron not in design.null_loglik:
+        sums, value = evaluate(beta)
+        design.null_loglik[efron] = sums.loglik()
+    if start is not None:
+        beta = start
+        sums, value = evaluate(beta)
+    null = design.null_loglik[efron]
     info = np.eye(q)
     done = 0
     for done in range(1, max_iter + 1):
@@ -387,11 +398,12 @@ def _newton(design: Design, mean: np.ndarray, sd: np.ndarray, n: int, penalizer:
 def cox_fit(df: DataFrame, features: Sequence[str] | Mapping[str, Column], time: str = TIME,
             event: str = EVENT, penalizer: float = 0.01, ties: str = "efron",
             l1_ratio: float = 0.0, max_iter: int = 30, tol: float = 1e-9,
-            design: Design | None = None) -> CoxModel:
+            design: Design | None = None, start: CoxModel | None = None) -> CoxModel:
     """Ridge-penalised Cox fit on every row given.
 
     The penalty is ``n * penalizer / 2 * |beta|^2`` on standardised features. Rows with NULLs
-    must have been dropped or filled.
+    must have been dropped or filled. ``design`` reuses a cached matrix and ``start`` begins at
+    another fit's coefficients; neither changes the optimum.
     """
     if l1_ratio:
         raise ValueError("only the ridge penalty (l1_ratio=0) is supported")
@@ -407,7 +419,8 @@ def cox_fit(df: DataFrame, features: Sequence[str] | Mapping[str, Column], time:
             raise ValueError("At least one observed event is required.")
         scale = np.where(sd > 0, sd, 1.0)
         beta, sums, info, null, done = _newton(design, mean, scale, n, penalizer,
-                                               ties == "efron", max_iter, tol)
+                                               ties == "efron", max_iter, tol,
+                                               None if start is None else start.beta * scale)
     finally:
         if own:
             design.close()
