@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -75,3 +76,11 @@ def with_counts(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     """Row counter that rides along with whatever action runs the plan."""
     seen = Observation(name)
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def observed_rows(seen: Observation) -> int:
+    """The observed count; 0 when the plan proved empty at run time and lost its counter."""
+    try:
+        return seen.get["rows"]
+    except Py4JJavaError:
+        return 0

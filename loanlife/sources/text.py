@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -38,3 +39,10 @@ def read_survival_table(spark: SparkSession, path: str, schema: str | T.StructTy
             raise ValueError("a csv table needs its schema; it is not inferred")
         return spark.read.schema(schema).option("header", True).csv(path)
     raise ValueError("Unsupported file format. Use a .csv or .parquet path.")
+
+
+def with_file_vintage(df: DataFrame, pattern: str = r"(\d{4})Q([1-4])") -> DataFrame:
+    """Vintage year and quarter from the name of the file each row came from."""
+    name = F.col("_metadata.file_name")
+    part = lambda i: F.nullif(F.regexp_extract(name, pattern, i), F.lit("")).try_cast("int")
+    return df.withColumns({"vintage_year": part(1), "vintage_quarter": part(2)})
