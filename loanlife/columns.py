@@ -40,12 +40,12 @@ MONTHLY_DATES = {
     "ddlpi_raw": "ddlpi",
 }
 
-# Storage kinds. The unsigned ones name the value range that survives the cast; Spark has no
+# Storage kinds: Spark type and, for unsigned integers, the bits a value may use. Spark has no
 # unsigned type, so each is kept in the next wider signed one.
-U8 = ("short", 0, 255)
-U16 = ("int", 0, 65535)
-U32 = ("bigint", 0, 4294967295)
-F32 = ("float", None, None)
+U8 = ("short", 8)
+U16 = ("int", 16)
+U32 = ("bigint", 32)
+F32 = ("float", None)
 
 ORIGINATION_TYPES = {
     "fico": U16, "msa": U32, "mi_pct": U8, "n_units": U8, "cltv": U8, "dti": U8, "orig_upb": F32,

@@ -32,16 +32,19 @@ def null_sentinels(df: DataFrame, codes: Mapping[str, Sequence]) -> DataFrame:
 def yyyymm_to_date(c: Column) -> Column:
     """First day of a ``YYYYMM`` month; any other length or an impossible month is NULL."""
     text = F.trim(c)
-    return F.when(F.length(text) == 6, F.try_to_date(text, "yyyyMM"))
+    year = F.substring(text, 1, 4).try_cast("int")
+    month = F.substring(text, 5, 2).try_cast("int")
+    ok = (F.length(text) == 6) & year.between(1, 9999) & month.between(1, 12)
+    return F.when(ok, F.make_date(year, month, F.lit(1)))
 
 
-def typed_cast(c: Column, kind: tuple[str, int | None, int | None]) -> Column:
-    """Cast that nulls bad text and values outside the declared range."""
-    type_name, low, high = kind
-    if low is None:
+def typed_cast(c: Column, kind: tuple[str, int | None]) -> Column:
+    """Cast that nulls bad text and integers that do not fit the declared unsigned width."""
+    type_name, bits = kind
+    if bits is None:
         return c.try_cast(type_name)
     wide = c.try_cast("bigint")
-    return F.when(wide.between(low, high), wide).cast(type_name)
+    return F.when(F.shiftright(wide, bits) == 0, wide).cast(type_name)
 
 
 def to_number(c: Column) -> Column:
@@ -67,11 +70,26 @@ def keep_30y_fixed(df: DataFrame) -> DataFrame:
 
 
 def _transform(df: DataFrame, sentinels: Mapping, dates: Mapping, types: Mapping) -> DataFrame:
-    df = null_sentinels(blank_to_null(df), sentinels)
-    df = df.withColumns({new: yyyymm_to_date(F.col(raw)) for raw, new in dates.items()})
-    return df.drop(*dates).withColumns(
-        {c: typed_cast(F.col(c), kind) for c, kind in types.items()}
-    )
+    """Blank and sentinel rules and the cast of every column in one flat projection.
+
+    Numbers and dates need no blank rule of their own: blank text is not one. Keeping the
+    expressions this small keeps the generated method small enough to be compiled.
+    """
+    texts = set(_text_columns(df))
+    out, tail = [], []
+    for c in df.columns:
+        value = F.col(c)
+        if c in sentinels:
+            value = F.when(~value.isin(*sentinels[c]), value)
+        if c in dates:
+            tail.append(yyyymm_to_date(value).alias(dates[c]))
+        elif c in types:
+            out.append(typed_cast(value, types[c]).alias(c))
+        elif c in texts:
+            out.append(F.when(F.trim(F.col(c)) != "", value).alias(c))
+        else:
+            out.append(value)
+    return df.select(*out, *tail)
 
 
 def transform_origination(df: DataFrame, year: Column | int, quarter: Column | int) -> DataFrame:

@@ -397,7 +397,7 @@ def _newton(design: Design, mean: np.ndarray, sd: np.ndarray, n: int, penalizer:
 
 def cox_fit(df: DataFrame, features: Sequence[str] | Mapping[str, Column], time: str = TIME,
             event: str = EVENT, penalizer: float = 0.01, ties: str = "efron",
-            l1_ratio: float = 0.0, max_iter: int = 30, tol: float = 1e-9,
+            l1_ratio: float = 0.0, max_iter: int = 30, tol: float = 1e-13,
             design: Design | None = None, start: CoxModel | None = None) -> CoxModel:
     """Ridge-penalised Cox fit on every row given.
 
@@ -482,8 +482,8 @@ def cox_univariate(df: DataFrame, features: Sequence[str], time: str = TIME, eve
                 step = grad / info if info > 0 else 0.0
                 if abs(grad * step) / 2 < tol:
                     moving.discard(i)
-                else:
-                    beta[i] += max(-2.0, min(2.0, step))
+                    like[i] += grad * step / 2
+                beta[i] += max(-2.0, min(2.0, step))
             if not moving:
                 break
     finally:

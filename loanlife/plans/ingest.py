@@ -36,12 +36,12 @@ def _clean(c: str, sentinels: dict) -> str:
 
 
 def _typed(text: str, kind: tuple) -> str:
-    name, low, high = kind
+    name, bits = kind
     name = {"short": "SMALLINT", "int": "INTEGER", "bigint": "BIGINT", "float": "FLOAT"}[name]
-    if low is None:
+    if bits is None:
         return f"TRY_CAST({text} AS {name})"
     wide = f"TRY_CAST({text} AS BIGINT)"
-    return f"CAST(CASE WHEN {wide} BETWEEN {low} AND {high} THEN {wide} END AS {name})"
+    return f"CAST(CASE WHEN {wide} BETWEEN 0 AND {2 ** bits - 1} THEN {wide} END AS {name})"
 
 
 def _month_sql(text: str) -> str:
