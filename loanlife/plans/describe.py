@@ -17,6 +17,7 @@ from loanlife.plans.fixtures import (AGE_YEARS, AT_RISK_FLOOR, CAL_YEARS, MIN_AC
 from loanlife.plans.ingest import VARIANT_SQL
 from loanlife.plans.registry import query, rounded
 from loanlife.sources.tables import attach_macro
+from loanlife.support import materialize
 
 OUT, SURV = ["fx_outcomes"], ["fx_surv"]
 
@@ -198,8 +199,8 @@ def sample_per_group(d: Data) -> DataFrame:
 row_number() OVER (ORDER BY md5('42:' || CAST(loan_seq_num AS VARCHAR))) AS rn FROM fx_cox)
 SELECT loan_seq_num FROM g WHERE rn <= 1000""", ["fx_cox"])
 def sample_exact(d: Data) -> DataFrame:
-    return hash_sample(event_flag(d.outcomes, min_duration=1).select("loan_seq_num"),
-                       "loan_seq_num", 1000, 42)
+    ids = event_flag(d.outcomes, min_duration=1).select("loan_seq_num")
+    return hash_sample(materialize(ids, "sample-rows"), "loan_seq_num", 1000, 42)
 
 
 # ---- calendar --------------------------------------------------------------------------------
@@ -411,7 +412,9 @@ def logrank_two_groups(d: Data) -> DataFrame:
 @query("logrank_rank")
 def logrank_rank(d: Data) -> DataFrame:
     names = ["fico", "ltv", "dti", "orig_rate", "vintage", "loan_purpose", "channel"]
-    return rounded(life.rank_logrank(prepay(d), {n: group_column(n) for n in names}))
+    columns = [K.TIME, K.EVENT, *K.BINS, "vintage_year", "loan_purpose", "channel"]
+    loans = materialize(prepay(d).select(*columns), "logrank-rows")
+    return rounded(life.rank_logrank(loans, {n: group_column(n) for n in names}))
 
 
 CAUSES = {"prepaid": "prepaid", "defaulted": "defaulted", "other": "other_termination"}

@@ -18,7 +18,7 @@ from loanlife.plans.protocol import run_protocol
 from loanlife.plans.registry import query, rounded
 from loanlife.sources.sinks import write_handoff, write_predictions
 from loanlife.sources.text import read_predictions
-from loanlife.support import scratch_path
+from loanlife.support import materialize, scratch_path
 
 COX = ["fx_cox"]
 
@@ -41,9 +41,11 @@ AP_SQL = "sum(pos * cp / (cp + cn)) / max(tp)"
 
 
 def wide_scores(d: Data) -> DataFrame:
-    return labelled_splits(d).select("loan_seq_num", "split", F.col("label").alias("y"),
-                                     F.expr(P_RATE).alias("rate_prob"),
-                                     F.expr(P_MIX).alias("mix_prob"))
+    """Label and scores per loan, stored once: the metrics read them several times."""
+    scored = labelled_splits(d).select("loan_seq_num", "split", F.col("label").alias("y"),
+                                       F.expr(P_RATE).alias("rate_prob"),
+                                       F.expr(P_MIX).alias("mix_prob"))
+    return materialize(scored, "scores")
 
 
 def long_scores(d: Data) -> DataFrame:

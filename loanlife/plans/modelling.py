@@ -137,6 +137,7 @@ SELECT loan_seq_num, prepay_observed, CASE WHEN r <= round(n * 0.7::DOUBLE) THEN
   WHEN r <= round(n * 0.85::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM h""", COX)
 def stratified_split(d: Data) -> DataFrame:
     rows = event_flag(d.outcomes, min_duration=1).select("loan_seq_num", K.EVENT)
+    rows = materialize(rows, "split-rows")
     return T.stratified_split(rows, "loan_seq_num", K.EVENT,
                               {"train": 0.7, "val": 0.15, "test": 0.15})
 
@@ -308,7 +309,7 @@ SELECT CAST(count(*) AS BIGINT) AS n, round(avg(prob), 6) AS mean,
 round(quantile_cont(prob, 0.1), 6) AS p10, round(quantile_cont(prob, 0.5), 6) AS p50,
 round(quantile_cont(prob, 0.9), 6) AS p90 FROM p""", COX)
 def score_summary_query(d: Data) -> DataFrame:
-    rows = scored_rows(d)
+    rows = materialize(scored_rows(d).select(K.TIME, K.EVENT, "eta"), "scored")
     return rounded(score_summary(X.prob_at_horizon(rows, X.breslow(rows, "eta"), "eta", 24),
                                  "prob"))
 
@@ -363,7 +364,7 @@ def cox_univariate_rank(d: Data) -> DataFrame:
 @query("cox_vs_logrank")
 def cox_vs_logrank(d: Data) -> DataFrame:
     """Bin-free likelihood-ratio statistic beside the binned log-rank one."""
-    loans = cox_rows(d)
+    loans = stored_rows(d)
     fits = cox_univariate(loans, NUMERIC)
     ranked = rank_logrank(loans, {c: group_column(c) for c in NUMERIC})
     mine = d.spark.createDataFrame([(f["covariate"], f["cox_lr_chi2"]) for f in fits],
