@@ -13,7 +13,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loanlife.support import bounded_collect, broadcast_if_small, keyed, small_table
+from loanlife.support import bounded_collect, broadcast_if_small, keyed
 
 
 def suffix_sum(c: Column, order: str, by: Sequence[str] = ()) -> Column:
@@ -56,8 +56,8 @@ def running_totals(df: DataFrame, order: str, values: Sequence[str], by: Sequenc
     """Descending running totals ``cum_<value>`` over the distinct values of ``order``.
 
     Rows with the same order value are merged first, so a hot value is one row. Buckets of the
-    order value are ordered through their totals; windows only run inside a bucket. The bucket
-    totals and the windows read the same shuffle.
+    order value are ordered through their totals; windows only run inside a bucket. The input is
+    read three times (edges, totals, windows), so pass a stored table.
     """
     by = list(by)
     edges = bucket_edges(df, order, buckets or default_buckets(df))
@@ -122,9 +122,12 @@ def hash_cuts(df: DataFrame, key: str, seed: int, sizes: Sequence[Column],
 
 
 def join_cuts(df: DataFrame, cuts: DataFrame, by: Sequence[str]) -> DataFrame:
-    small, ok = small_table(cuts)
-    small = F.broadcast(small) if ok else small
-    return df.join(small, list(by)) if by else df.join(F.broadcast(small.limit(1)))
+    """Attach the cuts of each row's group; without groups they are plain constants."""
+    if by:
+        return df.join(broadcast_if_small(cuts), list(by))
+    row = cuts.first()
+    return df.withColumns({c: F.lit(row[c] if row else None).cast("string")
+                           for c in cuts.columns})
 
 
 def hash_sample(df: DataFrame, key: str, n: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
@@ -133,11 +136,6 @@ def hash_sample(df: DataFrame, key: str, n: int, seed: int, by: Sequence[str] =
     ``key`` must be unique and the group columns not NULL. After the cuts are known the sample
     is a filter on the scan.
     """
-    if not by:
-        cuts = hash_cuts(df, key, seed, [F.least(F.lit(n), F.col("__n"))])
-        rows = cuts.collect()
-        cut = rows[0]["cut_0"] if rows else None
-        return df.where(row_hash(key, seed) <= F.lit(cut)) if cut is not None else df.limit(0)
     cuts = hash_cuts(df, key, seed, [F.least(F.lit(n), F.col("__n"))], by)
     return join_cuts(df, cuts, by).where(row_hash(key, seed) <= F.col("cut_0")).drop("cut_0")
 
