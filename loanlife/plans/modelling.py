@@ -14,7 +14,7 @@ from loanlife.operators.cox import CoxModel, compare_models, cox_fit, cox_univar
 from loanlife.operators.life import rank_logrank
 from loanlife.operators.ranks import medians
 from loanlife.operators.summaries import score_summary, split_summary
-from loanlife.plans.describe import cut_sql, group_column
+from loanlife.plans.describe import group_column
 from loanlife.plans.fixtures import HORIZONS, SPLIT_YEARS, Data
 from loanlife.plans.registry import query, rounded
 from loanlife.plans.sensitivity import sensitivity_grid
@@ -373,7 +373,7 @@ def cox_vs_logrank(d: Data) -> DataFrame:
                              "covariate"))
 
 
-# Two Newton steps in SQL need a closed form of the matrix inverse; two covariates have one.
+# Newton steps in SQL need a closed form of the matrix inverse; two covariates have one.
 PAIR = ["orig_rate", "ltv"]
 
 

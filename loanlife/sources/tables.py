@@ -30,7 +30,8 @@ def restrict_ids(ids: DataFrame, key: str = ID, max_broadcast_rows: int = 1_000_
                  ) -> Callable[[DataFrame], DataFrame]:
     """Semi-join transform; the id list is broadcast only when counted small."""
     wanted = ids.select(key).where(F.col(key).isNotNull()).distinct()
-    wanted = broadcast_if_small(wanted, max_broadcast_rows)
+    if wanted.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+        wanted = F.broadcast(wanted)
     return lambda df: df.join(wanted, key, "left_semi")
 
 

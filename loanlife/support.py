@@ -69,14 +69,6 @@ def bounded_collect(df: DataFrame, max_rows: int, what: str) -> list:
     return rows
 
 
-def cols(names: Sequence[str] | str) -> list[str]:
-    return [names] if isinstance(names, str) else list(names)
-
-
 def keyed(by: Sequence[str]) -> list[Column]:
     """Window partition keys; the constant stands in for 'no strata'."""
     return [F.col(c) for c in by] or [F.lit(1)]
-
-
-def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
