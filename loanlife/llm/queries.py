@@ -49,3 +49,25 @@ FROM documents d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)
 def op3_near_duplicates(spark, sf_dir):
     from loanlife.llm.near_duplicates import near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+REPEATS_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+    lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(range(1, greatest(len(ws) - 33, 1))) AS i FROM w),
+g AS (SELECT p.doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h FROM p JOIN w USING (doc_id)),
+d AS (SELECT h FROM g GROUP BY 1 HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS pos FROM g JOIN d USING (h)),
+k AS (SELECT doc_id, list(pos) AS gone FROM c GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(array_to_string(list_transform(list_filter(range(1, len(ws) + 1),
+    lambda x: NOT list_contains(coalesce(gone, CAST([] AS BIGINT[])), x)), lambda x: ws[x]), ' '))
+    AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
+
+
+@query(REPEATS_SQL)
+def op6_repeats(spark, sf_dir):
+    from loanlife.llm.repeats import repeat_report
+    return repeat_report(table(spark, sf_dir, "documents")).drop("spans")
