@@ -71,3 +71,12 @@ FROM w LEFT JOIN k USING (doc_id)
 def op6_repeats(spark, sf_dir):
     from loanlife.llm.repeats import repeat_report
     return repeat_report(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query()
+def op5_pieces(spark, sf_dir):
+    import public_tokenizers
+
+    from loanlife.llm.pieces import encoding_digests, read_model
+    model = read_model(public_tokenizers.path("piece_bpe_32k.model"))
+    return encoding_digests(table(spark, sf_dir, "documents"), model)
