@@ -80,3 +80,10 @@ def op5_pieces(spark, sf_dir):
     from loanlife.llm.pieces import encoding_digests, read_model
     model = read_model(public_tokenizers.path("piece_bpe_32k.model"))
     return encoding_digests(table(spark, sf_dir, "documents"), model)
+
+
+@query()
+def op9_quality(spark, sf_dir):
+    from loanlife.llm.quality import score_rows, train
+    docs = table(spark, sf_dir, "documents")
+    return score_rows(docs, train(docs, table(spark, sf_dir, "labels")))
