@@ -87,3 +87,27 @@ def op9_quality(spark, sf_dir):
     from loanlife.llm.quality import score_rows, train
     docs = table(spark, sf_dir, "documents")
     return score_rows(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+CONTAMINATION_SQL = r"""
+WITH w AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL
+           SELECT 1, item_id, text FROM benchmark),
+x AS (SELECT kind, id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM w),
+s AS (SELECT kind, id, unnest(CASE WHEN len(ws) = 0 THEN CAST([] AS VARCHAR[])
+    WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3),
+      lambda i: array_to_string(ws[i:i + 4], ' '))) END) AS g FROM x),
+n AS (SELECT id, count(*) AS n FROM s WHERE kind = 1 GROUP BY 1)
+SELECT a.id AS doc_id, b.id AS item_id, n.n AS n_item, count(*) AS n_common,
+  count(*) / CAST(n.n AS DOUBLE) AS containment
+FROM s a JOIN s b ON a.g = b.g AND a.kind = 0 AND b.kind = 1 JOIN n ON n.id = b.id
+GROUP BY a.id, b.id, n.n HAVING 100 * count(*) >= 75 * n.n
+"""
+
+
+@query(CONTAMINATION_SQL)
+def op10_contamination(spark, sf_dir):
+    from loanlife.llm.contamination import find_items
+    return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
