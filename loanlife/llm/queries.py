@@ -111,3 +111,9 @@ GROUP BY a.id, b.id, n.n HAVING 100 * count(*) >= 75 * n.n
 def op10_contamination(spark, sf_dir):
     from loanlife.llm.contamination import find_items
     return find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op4_syncmers(spark, sf_dir):
+    from loanlife.llm.syncmers import fingerprints
+    return fingerprints(table(spark, sf_dir, "documents"))
