@@ -117,3 +117,12 @@ def op10_contamination(spark, sf_dir):
 def op4_syncmers(spark, sf_dir):
     from loanlife.llm.syncmers import fingerprints
     return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_wordpieces(spark, sf_dir):
+    import public_tokenizers
+
+    from loanlife.llm.wordpieces import token_counts, vocabulary
+    begin, go_on = vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    return token_counts(table(spark, sf_dir, "documents"), begin, go_on)
