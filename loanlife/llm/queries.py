@@ -126,3 +126,43 @@ def op8_wordpieces(spark, sf_dir):
     from loanlife.llm.wordpieces import token_counts, vocabulary
     begin, go_on = vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
     return token_counts(table(spark, sf_dir, "documents"), begin, go_on)
+
+
+FIXITY_SQL = r"""
+WITH p AS (SELECT page_id, page_id // 1000 AS archive, coalesce(url, '') AS url,
+    coalesce(html, '') AS html, CASE WHEN page_id % 101 = 7 THEN coalesce(html, '') || '<!-- -->'
+      ELSE coalesce(html, '') END AS copy FROM pages),
+r AS (SELECT page_id, archive, sha256(a) AS expected, sha256(b) AS found, strlen(a) AS n FROM (
+  SELECT page_id, archive, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13)
+    || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: '
+    || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) || html || chr(13) || chr(10)
+    || chr(13) || chr(10) AS a,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13)
+    || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: '
+    || strlen(copy) || chr(13) || chr(10) || chr(13) || chr(10) || copy || chr(13) || chr(10)
+    || chr(13) || chr(10) AS b FROM p)),
+o AS (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY archive ORDER BY page_id, expected
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM r)
+SELECT page_id, archive, "offset", CAST(n AS BIGINT) AS n_bytes,
+  CASE WHEN page_id % 103 = 5 THEN 'missing' ELSE 'altered' END AS status, expected,
+  CASE WHEN page_id % 103 = 5 THEN NULL ELSE found END AS found
+FROM o WHERE page_id % 103 = 5 OR expected <> found
+"""
+
+
+@query(FIXITY_SQL)
+def op7_fixity(spark, sf_dir):
+    """The pages as archives, against a replica with changed and lost records."""
+    from pyspark.sql import functions as F
+
+    from loanlife.llm.fixity import audit, layout
+    from loanlife.support import materialize
+    html = F.coalesce("html", F.lit(""))
+    copy = F.when(F.col("page_id") % 101 == 7, F.concat(html, F.lit("<!-- -->"))).otherwise(html)
+    records = materialize(layout(table(spark, sf_dir, "pages"), {"primary": html, "copy": copy}),
+                          "records")
+    primary = records.select("archive", "offset", F.col("primary").alias("digest"))
+    replica = records.where("page_id is null or page_id % 103 <> 5").select(
+        "archive", "offset", F.col("copy").alias("digest"))
+    return audit(primary, replica).join(
+        records.select("archive", "offset", "page_id", "n_bytes"), ["archive", "offset"])
