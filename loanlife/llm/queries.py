@@ -166,3 +166,9 @@ def op7_fixity(spark, sf_dir):
         "archive", "offset", F.col("copy").alias("digest"))
     return audit(primary, replica).join(
         records.select("archive", "offset", "page_id", "n_bytes"), ["archive", "offset"])
+
+
+@query()
+def op2_licenses(spark, sf_dir):
+    from loanlife.llm.licenses import find_licenses
+    return find_licenses(table(spark, sf_dir, "documents"))
