@@ -227,8 +227,9 @@ def near_duplicates(docs: DataFrame, length: int = WORDS, percent: int = PERCENT
     the least id reachable by links, ``kept`` marks the row whose id that is.
 
     Null and empty texts, and texts without words, have size 0 and are linked with nothing. A null
-    id gets a null component and is kept. Rows that repeat an id share its component. Other columns
-    are ignored. An empty table gives an empty result.
+    id gets a null component and is kept. Rows that repeat an id are judged by their own texts, but
+    two texts first seen under one id share its component. Other columns are ignored. An empty table
+    gives an empty result.
     """
     signed = materialize(signatures(docs, length, size), "signed")
     full = signed.where("n_shingles > 0 and doc_id is not null")

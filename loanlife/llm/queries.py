@@ -172,3 +172,72 @@ def op7_fixity(spark, sf_dir):
 def op2_licenses(spark, sf_dir):
     from loanlife.llm.licenses import find_licenses
     return find_licenses(table(spark, sf_dir, "documents"))
+
+
+_MAIL = """
+mail AS (SELECT c.conv_id, c.turn, c.text || CASE WHEN a.text IS NULL THEN '' ELSE
+    chr(10) || 'In turn ' || CAST(c.turn - 1 AS VARCHAR(20)) || ' someone wrote:' || chr(10) || '> '
+    || replace(a.text, chr(10), chr(10) || '> ') END || CASE WHEN b.text IS NULL THEN '' ELSE
+    chr(10) || '>> ' || replace(b.text, chr(10), chr(10) || '>> ') END AS text
+  FROM (SELECT conv_id, turn, coalesce(text, '') AS text FROM conversations) c
+  LEFT JOIN (SELECT conv_id, turn + 1 AS turn, min(text) AS text FROM conversations GROUP BY 1, 2) a
+    ON a.conv_id = c.conv_id AND a.turn = c.turn
+  LEFT JOIN (SELECT conv_id, turn + 2 AS turn, min(text) AS text FROM conversations GROUP BY 1, 2) b
+    ON b.conv_id = c.conv_id AND b.turn = c.turn)
+"""
+
+QUOTATION_SQL = "WITH RECURSIVE" + _MAIL + r"""
+, m AS (SELECT row_number() OVER () AS id, * FROM mail),
+l AS (SELECT id, conv_id, turn, i, regexp_extract(line, '^(?:> ?)+') AS marks,
+    regexp_replace(line, '^(?:> ?)+', '') AS body
+  FROM (SELECT id, conv_id, turn, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) AS i FROM m)),
+v AS (SELECT *, length(replace(marks, ' ', '')) AS level FROM l),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY id, level ORDER BY i) AS run FROM v),
+p AS (SELECT id, conv_id, turn, level, min(i) AS i, max(i) AS last,
+    string_agg(body, chr(10) ORDER BY i) AS body FROM g GROUP BY id, conv_id, turn, level, run),
+n AS (SELECT id, max(last) AS n FROM p GROUP BY 1),
+o AS (SELECT id, conv_id, turn, string_agg(t, chr(10) ORDER BY i) AS own FROM (
+    SELECT p.*, CASE WHEN last < n.n THEN regexp_replace(body, '(^|\n)[^\n]*wrote:[ \t]*\n*$', '')
+      ELSE body END AS t FROM p JOIN n USING (id) WHERE level = 0) WHERE t <> '' GROUP BY 1, 2, 3),
+k AS (SELECT id, conv_id, turn, 0 AS i, own AS t FROM o UNION ALL
+  SELECT id, conv_id, turn, generate_subscripts(string_split(own, chr(10)), 1),
+    unnest(string_split(own, chr(10))) FROM o),
+f AS (SELECT conv_id, turn, i, trim(regexp_replace(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\t\n\x0B\f\r ]+', ' ', 'g')) AS t FROM k),
+x AS (SELECT conv_id, t, min(turn) AS to_turn FROM f WHERE t <> '' GROUP BY 1, 2),
+y AS (SELECT t, arg_min(conv_id, (conv_id, turn)) AS to_conv FROM f WHERE t <> '' AND i = 0 GROUP BY 1),
+q AS (SELECT id, conv_id, turn, level, i, trim(regexp_replace(translate(body,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\t\n\x0B\f\r ]+', ' ', 'g')) AS t,
+    string_split(body, chr(10)) AS ls FROM p WHERE level > 0),
+w AS (SELECT id, conv_id, turn, level, i, 0 AS place, t FROM q UNION ALL
+  SELECT id, conv_id, turn, level, i, generate_subscripts(ls, 1), trim(regexp_replace(translate(
+    unnest(ls), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\t\n\x0B\f\r ]+', ' ',
+    'g')) FROM q),
+near AS (SELECT id, i, arg_min(to_turn, place) AS to_turn FROM w JOIN x USING (conv_id, t)
+  WHERE w.t <> '' AND to_turn < turn GROUP BY 1, 2),
+links AS (SELECT q.id, q.conv_id, q.turn, q.level, near.to_turn,
+    near.to_turn IS NOT NULL OR y.to_conv <> q.conv_id AS linked
+  FROM q LEFT JOIN near USING (id, i) LEFT JOIN y ON y.t = q.t WHERE q.t <> ''),
+par AS (SELECT conv_id, turn, arg_max(to_turn, (-level, to_turn)) AS parent_turn FROM links
+  WHERE to_turn IS NOT NULL GROUP BY 1, 2),
+keys AS (SELECT DISTINCT conv_id, turn FROM m),
+tree AS (SELECT k.conv_id, k.turn, par.parent_turn, k.turn AS root_turn, 0 AS depth FROM keys k
+    LEFT JOIN par USING (conv_id, turn) WHERE par.parent_turn IS NULL
+  UNION ALL SELECT par.conv_id, par.turn, par.parent_turn, tree.root_turn, tree.depth + 1 FROM tree
+    JOIN par ON par.conv_id = tree.conv_id AND par.parent_turn = tree.turn),
+c AS (SELECT id, count(*) AS n_quotes, count(CASE WHEN linked THEN 1 END) AS n_linked FROM links
+  GROUP BY 1)
+SELECT m.conv_id, root_turn, m.turn, parent_turn, depth, coalesce(n_quotes, 0) AS n_quotes,
+  coalesce(n_linked, 0) AS n_linked, coalesce(own, '') AS body
+FROM m JOIN tree USING (conv_id, turn) LEFT JOIN c USING (id) LEFT JOIN o ON o.id = m.id
+"""
+
+
+@query(QUOTATION_SQL)
+def op1_quotations(spark, sf_dir):
+    """The conversations written as mail: each turn quotes the two before it."""
+    from loanlife.llm.quotations import conversations
+    mail = _MAIL.replace("VARCHAR(20)", "STRING").replace("FROM conversations", "FROM {given}")
+    return conversations(spark.sql(f"WITH {mail} SELECT * FROM mail",
+                                   given=table(spark, sf_dir, "conversations")))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loanlife.llm.words import RUN_POWERS, Powers, Words, mix, runs, slices, words
+from loanlife.llm.words import RUN_POWERS, Powers, Words, fresh, mix, runs, slices, words
 from loanlife.support import materialize
 
 WINDOW, GRAM = 35, 12
@@ -169,10 +169,12 @@ def factors(docs: DataFrame, parsed: DataFrame, window: int = WINDOW) -> DataFra
     """``(doc_id, row, items)``: the runs ``(first, n)`` of repeated windows of each row that has
     any."""
     phrases = parsed.select("doc_id", "row", F.inline("phrases"))
-    again = phrases.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    # Written first, so that the joins below are plain ones whose hot keys can be split.
+    again = materialize(phrases.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
+                        .select("anchor"), "again")
     shared = materialize(phrases.join(again, "anchor"), "shared")
-    whole = (shared.groupBy("phrase").agg(F.count("*").alias("c"), F.min("row").alias("copy"))
-             .where("c > 1").drop("c"))
+    whole = materialize(shared.groupBy("phrase").agg(
+        F.count("*").alias("c"), F.min("row").alias("copy")).where("c > 1").drop("c"), "whole")
     marked = materialize(shared.join(whole, "phrase", "left"), "marked")
     border = marked.where("copy is null")
     copies = marked.where("row = copy").join(border.select("anchor").distinct(), "anchor",
@@ -183,7 +185,8 @@ def factors(docs: DataFrame, parsed: DataFrame, window: int = WINDOW) -> DataFra
     todo = listed(border.select("doc_id", "row", "first", "n").union(
         copies.select("doc_id", "row", "first", "n")))
     single = materialize(boundary_windows(_with_text(docs, todo), window), "windows")
-    found = single.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select("hash")
+    found = materialize(single.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1")
+                        .select("hash"), "found")
     return listed(marked.where("copy is not null").select("doc_id", "row", "first", "n").union(
         single.join(found, "hash").select("doc_id", "row", "first", F.lit(1).alias("n"))))
 
@@ -274,9 +277,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     """
     parsed = materialize(parse(docs, window, gram), "parsed")
     cut = spans(factors(docs, parsed, window), parsed, window)
-    hits = (cut.groupBy("doc_id").agg(F.collect_list(F.struct("row", "spans")).alias("_cuts"))
-            .withColumnRenamed("doc_id", "_own"))
     names, schema = docs.columns, docs.schema
+    own_id, cuts_of = fresh("own_id", names), fresh("cuts", names)
+    hits = cut.select(F.col("doc_id").alias(own_id), F.struct("row", "spans").alias("c")).groupBy(
+        own_id).agg(F.collect_list("c").alias(cuts_of))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -295,7 +299,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
                 [pa.array(texts, column.type) if n == "text" else batch.column(c)
                  for c, n in enumerate(names)], names=names)
     return (docs.join(hits.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(
-        F.col("_own")), "left").drop("_own").mapInArrow(run, schema))
+        F.col(own_id)), "left").drop(own_id).mapInArrow(run, schema))
 
 
 def _cut_text(w: Words, i: int, found: list[dict]) -> str:

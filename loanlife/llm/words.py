@@ -23,6 +23,14 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
+def fresh(base: str, taken: list[str]) -> str:
+    """A column name not yet taken."""
+    known = {t.lower() for t in taken}
+    while base.lower() in known:
+        base += "_"
+    return base
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words whose output bits all depend on all input bits."""
     x = x ^ (x >> _U(31))
