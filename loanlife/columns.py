@@ -47,11 +47,13 @@ U16 = ("int", 16)
 U32 = ("bigint", 32)
 F32 = ("float", None)
 
+# Storage types by column.
 ORIGINATION_TYPES = {
     "fico": U16, "msa": U32, "mi_pct": U8, "n_units": U8, "cltv": U8, "dti": U8, "orig_upb": F32,
     "ltv": U8, "orig_rate": F32, "zip3": U32, "term_months": U16, "n_borrowers": U8,
     "prop_valuation_method": U8,
 }
+# Storage types of the monthly columns.
 MONTHLY_TYPES = {
     "actual_upb": F32, "loan_age": U16, "rem_months": U16, "current_rate": F32,
     "deferred_upb": F32, "mi_recoveries": F32, "non_mi_recoveries": F32, "expenses": F32,
@@ -61,6 +63,7 @@ MONTHLY_TYPES = {
 }
 
 MONTHLY_OUTPUT = [MONTHLY_DATES.get(c, c) for c in MONTHLY_RAW]
+# Columns of the outcome table, in order.
 OUTCOME_OUTPUT = [
     "loan_seq_num", "vintage_year", "vintage_quarter", "first_obs_date", "last_obs_date",
     "event_time_months", "event_type", "final_zero_balance_code", "max_dq_status",
@@ -120,3 +123,11 @@ VARIANT_FEATURES = [
     "OriginalUPB", "OriginalLoantoValueLTV", "OriginalInterestRate", "Channel", "PropertyState",
     "PropertyType", "LoanPurpose", "OriginalLoanTerm", "NumberofBorrowers",
 ]
+
+# Leading columns of the yearly loan-level table, in order.
+VARIANT_OUTCOME = ["LoanSequenceNumber", "duration_months", "event", "zero_balance_code",
+                   "event_loan_age", "event_reporting_period", "last_observed_loan_age",
+                   "last_reporting_period", "origination_year"]
+
+# Label columns of the horizon data sets.
+HORIZON_LABELS = ("y_prepay_60m", "y_prepay_24m", "y_prepay_12m")

@@ -56,6 +56,15 @@ def digits_only(c: Column) -> Column:
     return F.when(c.rlike("^[0-9]+$"), c).try_cast("int")
 
 
+def whole_number(df: DataFrame, column: str) -> Column:
+    """An INT column of a whole-numbered one; a fraction is an error, it is never cut off."""
+    if isinstance(df.schema[column].dataType, T.IntegralType):
+        return F.col(column).cast("int")
+    value = F.col(column).cast("double")
+    return F.when(value.isNull() | (value == F.floor(value)), value.cast("int")).otherwise(
+        F.raise_error(F.lit(f"'{column}' holds a fraction")).cast("int"))
+
+
 def event_flag(df: DataFrame, cause: str = "prepaid", min_duration: int | None = None,
                time: str = K.TIME, out: str = K.EVENT) -> DataFrame:
     """0/1 flag for one cause; loans without a duration go, as do those below the minimum."""

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlife.columns import EVENT, TIME
+from loanlife.functions.cleaning import whole_number
 from loanlife.functions.tails import chi2_tail, normal_two_sided
 from loanlife.support import bounded_collect
 
@@ -153,7 +154,7 @@ class Design:
         self._moments: tuple | None = None
         self.null_loglik: dict[bool, float] = {}
         self.rows = df.select(
-            F.col(time).cast("int").alias("t"), F.col(event).cast("double").alias("e"),
+            whole_number(df, time).alias("t"), F.col(event).cast("double").alias("e"),
             F.array(*[f.cast("double") for f in features]).alias("x"),
         ).persist(StorageLevel.MEMORY_AND_DISK)
 
@@ -253,6 +254,7 @@ class CoxModel:
     iterations: int
     residuals: np.ndarray
     month_events: np.ndarray
+    converged: bool = True
 
     @property
     def se(self) -> np.ndarray:
@@ -334,7 +336,8 @@ class CoxModel:
             "time int, hazard double, events double, residuals array<double>", "baseline")
         write([(json.dumps({"loglik": self.loglik, "loglik_null": self.loglik_null, "n": self.n,
                             "events": self.events, "penalizer": self.penalizer, "ties": self.ties,
-                            "iterations": self.iterations}),)], "fit string", "fit")
+                            "iterations": self.iterations,
+                            "converged": self.converged}),)], "fit string", "fit")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "CoxModel":
@@ -390,9 +393,12 @@ def _newton(design: Design, mean: np.ndarray, sd: np.ndarray, n: int, penalizer:
                 break
             size /= 2
             if size < 1e-4:
-                return beta, sums, info, null, done
+                return beta, sums, info, null, done, False
         beta, sums, value = trial, new_sums, new_value
-    return beta, sums, info, null, done
+    else:
+        info = design.gram(scored(beta), q, sums) - sums.outer() + n * penalizer * np.eye(q)
+        return beta, sums, info, null, done, False
+    return beta, sums, info, null, done, True
 
 
 def cox_fit(df: DataFrame, features: Sequence[str] | Mapping[str, Column], time: str = TIME,
@@ -403,12 +409,14 @@ def cox_fit(df: DataFrame, features: Sequence[str] | Mapping[str, Column], time:
 
     The penalty is ``n * penalizer / 2 * |beta|^2`` on standardised features. Rows with NULLs
     must have been dropped or filled. ``design`` reuses a cached matrix and ``start`` begins at
-    another fit's coefficients; neither changes the optimum.
+    another fit's coefficients; neither changes the optimum. ``converged`` of the result is false
+    when ``max_iter`` ran out or no step raised the likelihood; after ``max_iter`` the curvature is
+    that of the last coefficients.
     """
     if l1_ratio:
         raise ValueError("only the ridge penalty (l1_ratio=0) is supported")
     if ties not in {"breslow", "efron"}:
-        raise ValueError("ties must be either 'breslow' or 'efron'")
+        raise ValueError(f"unknown handling of ties: {ties!r}")
     named = dict(features) if isinstance(features, Mapping) else {
         f: F.col(f"`{f}`") for f in features}
     own = design is None
@@ -416,11 +424,11 @@ def cox_fit(df: DataFrame, features: Sequence[str] | Mapping[str, Column], time:
     try:
         n, events, mean, sd = design.moments()
         if events == 0:
-            raise ValueError("At least one observed event is required.")
+            raise ValueError("no row has an event, so nothing can be fitted")
         scale = np.where(sd > 0, sd, 1.0)
-        beta, sums, info, null, done = _newton(design, mean, scale, n, penalizer,
-                                               ties == "efron", max_iter, tol,
-                                               None if start is None else start.beta * scale)
+        beta, sums, info, null, done, converged = _newton(
+            design, mean, scale, n, penalizer, ties == "efron", max_iter, tol,
+            None if start is None else start.beta * scale)
     finally:
         if own:
             design.close()
@@ -431,7 +439,7 @@ def cox_fit(df: DataFrame, features: Sequence[str] | Mapping[str, Column], time:
         covariance=np.linalg.pinv(info, hermitian=True) / np.outer(scale, scale),
         loglik=sums.loglik(), loglik_null=null, n=n, events=events, penalizer=penalizer,
         ties=ties, months=sums.t[at], hazard=sums.d[at] / sums.s0[at], iterations=done,
-        residuals=resid, month_events=sums.d[at])
+        residuals=resid, month_events=sums.d[at], converged=converged)
 
 
 def cox_univariate(df: DataFrame, features: Sequence[str], time: str = TIME, event: str = EVENT,
@@ -439,7 +447,8 @@ def cox_univariate(df: DataFrame, features: Sequence[str], time: str = TIME, eve
     """A separate one-covariate fit per feature, all in the same aggregation.
 
     Each feature uses the rows where it is not NULL. With one covariate the second moments are
-    just more sums per month, so a step is a single built-in aggregation.
+    just more sums per month, so a step is a single built-in aggregation. ``converged`` tells
+    whether the steps became small enough before ``max_iter``.
     """
     stats = df.where(F.col(time).isNotNull() & F.col(event).isNotNull()).agg(*[
         g(F.col(f).cast("double")).alias(f"{n}{i}") for i, f in enumerate(features)
@@ -447,7 +456,7 @@ def cox_univariate(df: DataFrame, features: Sequence[str], time: str = TIME, eve
     mean = [stats[f"m{i}"] for i in range(len(features))]
     sd = [stats[f"s{i}"] or 1.0 for i in range(len(features))]
     rows = df.where(F.col(time).isNotNull() & F.col(event).isNotNull()).select(
-        F.col(time).cast("int").alias("t"), F.col(event).cast("double").alias("e"),
+        whole_number(df, time).alias("t"), F.col(event).cast("double").alias("e"),
         *[((F.col(f).cast("double") - m) / s).alias(f"x{i}")
           for i, (f, m, s) in enumerate(zip(features, mean, sd))],
     ).persist(StorageLevel.MEMORY_AND_DISK)
@@ -490,7 +499,8 @@ def cox_univariate(df: DataFrame, features: Sequence[str], time: str = TIME, eve
         rows.unpersist()
     return [{"covariate": f, "n": int(stats[f"n{i}"]), "coef": beta[i] / sd[i],
              "hazard_ratio": math.exp(beta[i] / sd[i]),
-             "cox_lr_chi2": 2 * (like[i] - null[i])} for i, f in enumerate(features)]
+             "cox_lr_chi2": 2 * (like[i] - null[i]),
+             "converged": i not in moving} for i, f in enumerate(features)]
 
 
 def compare_models(spark: SparkSession, models: Mapping[str, CoxModel]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanlife.columns import EVENT, TIME
+from loanlife.functions.cleaning import whole_number
 from loanlife.operators.cox import MAX_MONTHS, tie_sums
 from loanlife.operators.ranks import running_sum, suffix_sum
 from loanlife.support import bounded_collect, small_table
@@ -24,7 +25,7 @@ def linear_log_risk(coef: Mapping[str, float], mean: Mapping[str, float]) -> Col
 def _risk_by_month(df: DataFrame, log_risk: str, time: str, event: str) -> DataFrame:
     w = F.exp(F.col(log_risk))
     e = F.col(event).cast("double")
-    return df.groupBy(F.col(time).cast("int").alias("time")).agg(
+    return df.groupBy(whole_number(df, time).alias("time")).agg(
         F.sum(w).alias("w"), F.sum(w * e).alias("we"), F.sum(F.col(log_risk) * e).alias("eta"),
         F.sum(e).alias("d"))
 
@@ -33,12 +34,12 @@ def cox_loss(df: DataFrame, log_risk: str, time: str = TIME, event: str = EVENT,
              ties: str = "efron") -> float:
     """Negative partial log-likelihood per event. Only per-month sums reach the driver."""
     if ties not in {"breslow", "efron"}:
-        raise ValueError("ties must be either 'breslow' or 'efron'")
+        raise ValueError(f"unknown handling of ties: {ties!r}")
     rows = sorted(bounded_collect(_risk_by_month(df, log_risk, time, event), MAX_MONTHS,
                                   "durations"))
     events = sum(r["d"] for r in rows)
     if not events:
-        raise ValueError("At least one observed event is required to compute Cox loss.")
+        raise ValueError("the loss is per event, and there are no events")
     total, at_risk = 0.0, 0.0
     for r in reversed(rows):
         at_risk += r["w"]

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanlife.columns import EVENT, TIME
+from loanlife.functions.cleaning import whole_number
 from loanlife.functions.tails import chi2_tail
 from loanlife.operators.ranks import running_sum, suffix_sum
 from loanlife.support import bounded_collect, keyed
@@ -36,7 +37,7 @@ def life_table(df: DataFrame, time: str = TIME, event: str = EVENT, by: Sequence
     """Removed, observed and at-risk counts with the hazard, per stratum and month from 0."""
     by = list(by)
     rows = df.where(F.col(time).isNotNull())
-    counts = rows.groupBy(*by, F.col(time).cast("int").alias("t")).agg(
+    counts = rows.groupBy(*by, whole_number(rows, time).alias("t")).agg(
         F.count(F.lit(1)).alias("removed"), F.sum(F.col(event).cast("bigint")).alias("observed"))
     table = _with_zero(counts, by, ["removed", "observed"])
     table = table.withColumn("at_risk", suffix_sum(F.col("removed"), "t", by))
@@ -108,7 +109,7 @@ def aalen_johansen(df: DataFrame, causes: Mapping[str, str], time: str = TIME,
     """
     by = list(by)
     rows = df.where(F.col(time).isNotNull())
-    counts = rows.groupBy(*by, F.col(time).cast("int").alias("t")).agg(
+    counts = rows.groupBy(*by, whole_number(rows, time).alias("t")).agg(
         F.count(F.lit(1)).alias("removed"),
         *[F.count_if(F.col(cause) == v).alias(f"d_{k}") for k, v in causes.items()])
     table = _with_zero(counts, by, ["removed", *[f"d_{k}" for k in causes]])
@@ -129,7 +130,7 @@ def logrank_cells(df: DataFrame, group: str, time: str = TIME, event: str = EVEN
     """Exits and events per (group, month); loans without group, duration or flag are left out."""
     rows = df.where(F.col(time).isNotNull() & F.col(group).isNotNull() & F.col(event).isNotNull())
     return rows.groupBy(F.col(group).cast("string").alias("grp"),
-                        F.col(time).cast("int").alias("t")).agg(
+                        whole_number(rows, time).alias("t")).agg(
         F.count(F.lit(1)).alias("removed"), F.sum(F.col(event).cast("bigint")).alias("observed"))
 
 

@@ -147,18 +147,24 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
 
     Each pass counts values in equal-width bins of the bracket that holds a wanted order
     statistic, and narrows the bracket to one bin; a bin with a single value ends the search.
-    Integer-like columns end after one pass. Groups must be few: only their bin counts reach
-    the driver.
+    Integer-like columns end after one pass, and later passes read only columns still searched.
+    NaN counts as missing; infinite values have their place at the ends. Groups must be few
+    (``max_groups``): their bin counts, ``bins`` for each open bracket, reach the driver.
     """
     by = list(by)
     spark = df.sparkSession
-    long = df.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v"))
-        for i, c in enumerate(columns)])).alias("__s")).select(*by, "__s.c", "__s.v").where(
-        F.col("v").isNotNull())
+    # NaN is a missing value; infinities are counted at the ends and never enter a bracket.
+    def values(numbers: Sequence[int]) -> DataFrame:
+        v = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double"))
+        return df.select(*by, F.explode(F.array(*[
+            F.struct(F.lit(i).alias("c"), v(columns[i]).alias("v")) for i in numbers])
+        ).alias("__s")).select(*by, "__s.c", "__s.v").where(F.col("v").isNotNull())
+    inner = F.when(F.abs("v") != math.inf, F.col("v"))
     ends = bounded_collect(
-        long.groupBy(*by, "c").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                                   F.max("v").alias("hi")),
+        values(range(len(columns))).groupBy(*by, "c").agg(
+            F.count(F.lit(1)).alias("n"), F.min(inner).alias("lo"), F.max(inner).alias("hi"),
+            F.count_if(F.col("v") == -math.inf).alias("below"),
+            F.count_if(F.col("v") == math.inf).alias("above")),
         max_groups * len(columns), "quantile groups")
 
     found: dict[tuple, float] = {}
@@ -170,10 +176,14 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         for p in probs:
             low = math.floor(p * (r["n"] - 1))
             for k in {low, min(low + 1, r["n"] - 1)}:
-                if r["lo"] == r["hi"]:
+                if k < r["below"]:
+                    found[(*cell, k)] = -math.inf
+                elif k >= r["n"] - r["above"]:
+                    found[(*cell, k)] = math.inf
+                elif r["lo"] == r["hi"]:
                     found[(*cell, k)] = r["lo"]
                 else:
-                    open_[(*cell, k)] = (r["lo"], r["hi"], k)
+                    open_[(*cell, k)] = (r["lo"], r["hi"], k - r["below"])
 
     key_types = [df.schema[b].dataType.simpleString() for b in by]
     schema = ", ".join([*[f"`{b}` {t}" for b, t in zip(by, key_types)],
@@ -184,9 +194,12 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         number = {b: i for i, b in enumerate(brackets)}
         table = spark.createDataFrame(
             [(*cell, i, lo, hi) for i, (cell, lo, hi) in enumerate(brackets)], schema)
-        hit = long.join(F.broadcast(table), [*by, "c"]).where("v >= lo AND v <= hi")
-        place = F.least(F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins),
-                        F.lit(bins - 1))
+        wanted = sorted({key[-2] for key in open_})
+        hit = values(wanted).join(F.broadcast(table), [*by, "c"]).where("v >= lo AND v <= hi")
+        # Halves, so that the width of a very wide bracket is still a number. The two ends of a
+        # bracket always fall in different bins, so each pass narrows it.
+        half = lambda a, b: F.col(a) / 2 - F.col(b) / 2
+        place = F.least(F.floor(half("v", "lo") / half("hi", "lo") * bins), F.lit(bins - 1))
         counted = hit.groupBy("br", place.alias("bin")).agg(
             F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
         per: dict[int, list] = {}
@@ -207,13 +220,13 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
 
     out: dict[tuple, dict[str, list[float | None]]] = {}
     for cell, n in size.items():
-        values = []
+        numbers = []
         for p in probs:
             pos = p * (n - 1)
             low = math.floor(pos)
             a, b = found[(*cell, low)], found[(*cell, min(low + 1, n - 1))]
-            values.append(a + (b - a) * (pos - low))
-        out.setdefault(cell[:-1], {})[columns[cell[-1]]] = values
+            numbers.append(a if a == b or pos == low else a + (b - a) * (pos - low))
+        out.setdefault(cell[:-1], {})[columns[cell[-1]]] = numbers
     for per_group in out.values():
         for c in columns:
             per_group.setdefault(c, [None] * len(probs))

@@ -14,8 +14,7 @@ from loanlife.operators import checks as V
 from loanlife.operators.outcomes import outcome_stats, outcomes
 from loanlife.sources.sinks import existing_partitions, observed_rows, with_counts, write_table
 from loanlife.sources.tables import restrict_ids
-from loanlife.sources.text import scan_raw, with_file_vintage
-from loanlife.support import broadcast_if_small
+from loanlife.sources.text import quarter_files, scan_raw, with_file_vintage
 
 KEYS = ["vintage_year", "vintage_quarter"]
 
@@ -30,41 +29,70 @@ class ConvertStats:
     monthly_kept: int = 0
 
 
-def _todo(df: DataFrame, path: str, force: bool) -> DataFrame:
-    """Rows of quarters that are not stored yet."""
-    present = None if force else existing_partitions(df.sparkSession, path, KEYS)
-    return df if present is None else df.join(broadcast_if_small(present), KEYS, "left_anti")
+def _quarters(spark: SparkSession, path: str) -> set[tuple[int, int]]:
+    """Quarters stored at ``path`` (a bounded list: one entry per quarter)."""
+    found = existing_partitions(spark, path, KEYS)
+    return set() if found is None else {tuple(r) for r in found.collect()}
+
+
+def _unread(spark: SparkSession, files: str | Sequence[str], path: str, force: bool) -> list[str]:
+    """Files of quarters not stored yet, by their names alone."""
+    listed = quarter_files(spark, files if isinstance(files, str) else list(files))
+    done = set() if force else _quarters(spark, path)
+    return sorted(f for f, quarter in listed.items() if quarter not in done)
+
+
+def _of_quarters(df: DataFrame, quarters: set[tuple[int, int]]) -> DataFrame:
+    """Rows of some quarters as literal conditions, so that other partitions are never listed."""
+    wanted = F.lit(False)
+    for year in sorted({y for y, _ in quarters}):
+        own = sorted(q for y, q in quarters if y == year)
+        wanted = wanted | ((F.col(KEYS[0]) == year) & F.col(KEYS[1]).isin(*own))
+    return df.where(wanted)
 
 
 def convert(spark: SparkSession, origination: str | Sequence[str], monthly: str | Sequence[str],
             root: str, force: bool = False) -> ConvertStats:
-    """All quarter files in one job per table. Stored quarters are skipped unless forced."""
-    as_list = lambda p: p if isinstance(p, str) else list(p)
+    """All new quarter files in one job per table. Files of stored quarters are not opened unless
+    forced."""
     stats = ConvertStats()
-
-    raw = with_file_vintage(scan_raw(spark, as_list(origination), K.ORIGINATION_RAW))
-    raw, seen_raw = with_counts(_todo(raw, f"{root}/origination", force), "orig_raw")
-    typed = transform_origination(raw, F.col("vintage_year"), F.col("vintage_quarter"))
-    kept, seen_kept = with_counts(keep_30y_fixed(typed), "orig_kept")
-    write_table(kept, f"{root}/origination", KEYS, [K.ID])
-    stats.orig_raw, stats.orig_kept = observed_rows(seen_raw), observed_rows(seen_kept)
-
-    ids = spark.read.parquet(f"{root}/origination").select(K.ID)
-    panel = with_file_vintage(scan_raw(spark, as_list(monthly), K.MONTHLY_RAW))
-    panel, seen_raw = with_counts(_todo(panel, f"{root}/monthly", force), "monthly_raw")
-    panel, seen_kept = with_counts(
-        transform_monthly(panel).transform(restrict_ids(ids)), "monthly_kept")
-    write_table(panel, f"{root}/monthly", KEYS, [K.ID, "month"])
-    stats.monthly_raw, stats.monthly_kept = observed_rows(seen_raw), observed_rows(seen_kept)
+    new = _unread(spark, origination, f"{root}/origination", force)
+    if new:
+        raw, seen_raw = with_counts(with_file_vintage(scan_raw(spark, new, K.ORIGINATION_RAW)),
+                                    "orig_raw")
+        typed = transform_origination(raw, F.col("vintage_year"), F.col("vintage_quarter"))
+        kept, seen_kept = with_counts(keep_30y_fixed(typed), "orig_kept")
+        write_table(kept, f"{root}/origination", KEYS, [K.ID])
+        stats.orig_raw, stats.orig_kept = observed_rows(seen_raw, raw), observed_rows(seen_kept, kept)
+
+    new = _unread(spark, monthly, f"{root}/monthly", force)
+    if new:
+        ids = spark.read.parquet(f"{root}/origination").select(K.ID)
+        raw, seen_raw = with_counts(with_file_vintage(scan_raw(spark, new, K.MONTHLY_RAW)),
+                                    "monthly_raw")
+        panel, seen_kept = with_counts(transform_monthly(raw).transform(restrict_ids(ids)),
+                                       "monthly_kept")
+        write_table(panel, f"{root}/monthly", KEYS, [K.ID, "month"])
+        stats.monthly_raw = observed_rows(seen_raw, raw)
+        stats.monthly_kept = observed_rows(seen_kept, panel)
     return stats
 
 
+def undone(spark: SparkSession, root: str, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Origination and panel rows of the quarters without outcomes; other partitions are pruned.
+
+    A loan's panel rows are stored under its own quarter.
+    """
+    quarters = _quarters(spark, f"{root}/origination")
+    if not force:
+        quarters -= _quarters(spark, f"{root}/outcomes")
+    tables = (spark.read.parquet(f"{root}/{t}") for t in ("origination", "monthly"))
+    return tuple(_of_quarters(df, quarters) for df in tables)
+
+
 def derive_outcomes(spark: SparkSession, root: str, force: bool = False) -> DataFrame:
     """Outcome table of every stored quarter; returns its per-quarter summary."""
-    orig = spark.read.parquet(f"{root}/origination")
-    panel = spark.read.parquet(f"{root}/monthly")
-    todo = _todo(orig, f"{root}/outcomes", force)
-    derived = outcomes(todo, panel, ["month", "loan_age"])
+    derived = outcomes(*undone(spark, root, force), ["month", "loan_age"])
     write_table(derived, f"{root}/outcomes", KEYS, [K.ID])
     return outcome_stats(spark.read.parquet(f"{root}/outcomes"))
 

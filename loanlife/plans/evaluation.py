@@ -152,7 +152,7 @@ def binary_design(d: Data) -> tuple[DataFrame, list[str]]:
 
 
 def scaled(rows: DataFrame, features: list[str]) -> DataFrame:
-    prep = T.Preprocessor.fit(rows.where("split = 'train'"), features, [])
+    prep = T.Preprocessor.fit(rows.where("split = 'train'"), features, [], fill_gaps=False)
     return prep.transform(rows, [K.ID, "split", "label"])
 
 

@@ -77,7 +77,7 @@ VIEWS: dict[str, tuple[str, dict[str, str]]] = {
     "fx_panel": ("lineitem", {
         "loan_seq_num": "l_orderkey",
         "month": _month.format("l_shipdate"),
-        "seq": "CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey",
+        "seq": "CAST(l_linenumber AS BIGINT) * 100000 + l_partkey % 100000",
         "loan_age": _age,
         "dq_status": _dq,
         "zb_code": _zb,

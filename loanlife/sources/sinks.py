@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -34,13 +33,25 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("vintag
        .option("parquet.compression.codec.zstd.level", level)
        .option("partitionOverwriteMode", "dynamic" if keys else "static")
        .partitionBy(*keys).parquet(path))
+    if keys and stored_table(df.sparkSession, path) is None:
+        # Nothing was written: one file without rows keeps the schema readable.
+        (df.sparkSession.createDataFrame([], df.schema).coalesce(1)
+           .write.mode("append").parquet(path))
 
 
-def existing_partitions(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame | None:
+def stored_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or ``None`` where there is none; a damaged one raises."""
     try:
-        return spark.read.parquet(path).select(*keys).distinct()
-    except AnalysisException:
-        return None
+        return spark.read.parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def existing_partitions(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame | None:
+    found = stored_table(spark, path)
+    return None if found is None else found.select(*keys).distinct()
 
 
 def write_missing_partitions(df: DataFrame, path: str, keys: Sequence[str],
@@ -78,9 +89,10 @@ def with_counts(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
-def observed_rows(seen: Observation) -> int:
-    """The observed count; 0 when the plan proved empty at run time and lost its counter."""
-    try:
-        return seen.get["rows"]
-    except Py4JJavaError:
-        return 0
+def observed_rows(seen: Observation, df: DataFrame) -> int:
+    """The observed count of ``df``, whose action has run; errors are not caught.
+
+    A plan that proved empty at run time may have lost its counter; it is then counted by itself.
+    """
+    found = seen.get
+    return found["rows"] if "rows" in found else df.count()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlife.columns import ID
-from loanlife.support import broadcast_if_small
+from loanlife.support import broadcast_if_small, materialize
 
 
 def load_table(spark: SparkSession, root: str, table: str, years: Iterable[int] | None = None,
@@ -28,8 +28,8 @@ def load_table(spark: SparkSession, root: str, table: str, years: Iterable[int]
 
 def restrict_ids(ids: DataFrame, key: str = ID, max_broadcast_rows: int = 1_000_000
                  ) -> Callable[[DataFrame], DataFrame]:
-    """Semi-join transform; the id list is broadcast only when counted small."""
-    wanted = ids.select(key).where(F.col(key).isNotNull()).distinct()
+    """Semi-join transform. The id list is written once, counted, and broadcast only when small."""
+    wanted = materialize(ids.select(key).where(F.col(key).isNotNull()).distinct(), "ids")
     if wanted.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
         wanted = F.broadcast(wanted)
     return lambda df: df.join(wanted, key, "left_semi")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,11 +39,30 @@ def read_survival_table(spark: SparkSession, path: str, schema: str | T.StructTy
         if schema is None:
             raise ValueError("a csv table needs its schema; it is not inferred")
         return spark.read.schema(schema).option("header", True).csv(path)
-    raise ValueError("Unsupported file format. Use a .csv or .parquet path.")
+    raise ValueError(f"'{suffix}' is no known kind of table file (csv, parquet)")
 
 
-def with_file_vintage(df: DataFrame, pattern: str = r"(\d{4})Q([1-4])") -> DataFrame:
-    """Vintage year and quarter from the name of the file each row came from."""
+VINTAGE_NAME = r"(\d{4})Q([1-4])"
+
+
+def with_file_vintage(df: DataFrame, pattern: str = VINTAGE_NAME) -> DataFrame:
+    """Vintage year and quarter from the name of the file each row came from; a name without them is
+    an error."""
     name = F.col("_metadata.file_name")
-    part = lambda i: F.nullif(F.regexp_extract(name, pattern, i), F.lit("")).try_cast("int")
+    part = lambda i: F.when(F.regexp_extract(name, pattern, i) != "",
+                            F.regexp_extract(name, pattern, i)).otherwise(
+        F.raise_error(F.concat(F.lit("no quarter in the file name "), name))).cast("int")
     return df.withColumns({"vintage_year": part(1), "vintage_quarter": part(2)})
+
+
+def quarter_files(spark: SparkSession, path: str | list[str], pattern: str = VINTAGE_NAME
+                  ) -> dict[str, tuple[int, int]]:
+    """Vintage by file path, from a listing that opens no file."""
+    found = spark.read.format("binaryFile").load(path).select("path").collect()
+    out = {}
+    for row in found:
+        quarter = re.search(pattern, row["path"].rsplit("/", 1)[-1])
+        if quarter is None:
+            raise ValueError(f"no quarter in the file name {row['path']}")
+        out[row["path"]] = int(quarter[1]), int(quarter[2])
+    return out

@@ -15,7 +15,8 @@ SMALL_ROWS = 100_000
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) is a temporary folder made and set.
+    Only where a local session names none (tests) is a temporary folder made and set; on a cluster
+    the setting is required, as executors could not see each other's files.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -23,6 +24,9 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="loanlife-")
     spark.sparkContext.setCheckpointDir(made)
     return made

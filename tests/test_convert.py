@@ -1,12 +1,13 @@
-"""Raw text to stored tables, twice, in batch and as a file stream."""
+"""Raw text to stored tables, twice and bit by bit."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from loanlife import columns as K
 from loanlife.operators.checks import passed
 from loanlife.plans import convert as P
 from loanlife.plans.fixtures import view
-from loanlife.streaming.ingest import append_new_months
+from loanlife.sources.sinks import existing_partitions, write_table
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,18 +52,48 @@ def test_convert_derive_validate(spark, tmp_path):
     assert not passed(P.validate(spark, root))
 
 
-def test_stream_takes_only_new_files(spark, tmp_path):
-    raw = tmp_path / "m"
-    raw.mkdir()
-    parts = halves("loan_seq_num")
-    kept = view(spark, SF, "fx_raw_origination").where("amort_type = 'FRM'").select(K.ID)
-    want = view(spark, SF, "fx_raw_monthly").join(kept, K.ID, "left_semi").count()
-    out, mark = str(tmp_path / "out"), str(tmp_path / "mark")
+def test_new_quarters_open_no_old_file(spark, tmp_path):
+    for d in ("o", "m"):
+        (tmp_path / d).mkdir()
+    root, parts = str(tmp_path / "out"), halves("loan_seq_num")
+    src = (str(tmp_path / "o"), str(tmp_path / "m"))
+    seen = []
     for quarter, cond in parts.items():
-        write_quarters(spark, raw, "fx_raw_monthly", K.MONTHLY_RAW, "loans_time", {quarter: cond})
-        append_new_months(spark, str(raw), kept, out, mark)
-    got = spark.read.parquet(out)
-    assert got.count() == want
-    assert sorted(r[0] for r in got.select("vintage_quarter").distinct().collect()) == [1, 2]
-    append_new_months(spark, str(raw), kept, out, mark)
-    assert spark.read.parquet(out).count() == want
+        write_quarters(spark, tmp_path / "o", "fx_raw_origination", K.ORIGINATION_RAW, "loans",
+                       {quarter: cond})
+        write_quarters(spark, tmp_path / "m", "fx_raw_monthly", K.MONTHLY_RAW, "loans_time",
+                       {quarter: cond})
+        seen.append(P.convert(spark, *src, root))
+        P.derive_outcomes(spark, root)
+        # What is stored is not needed any more: a broken old file would fail if it were read.
+        (tmp_path / "o" / f"loans_{quarter}.txt").write_bytes(b"\xff")
+        (tmp_path / "m" / f"loans_time_{quarter}.txt").write_bytes(b"\xff")
+    assert all(s.orig_kept and s.monthly_kept for s in seen)
+    stored = spark.read.parquet(f"{root}/monthly")
+    assert stored.count() == sum(s.monthly_kept for s in seen)
+    assert spark.read.parquet(f"{root}/outcomes").count() == sum(s.orig_kept for s in seen)
+    _, panel = P.undone(spark, root, force=True)
+    plan = panel._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "vintage_year" in plan.split("PartitionFilters: [")[1]
+
+
+def test_a_name_without_quarter_and_a_damaged_table_are_errors(spark, tmp_path):
+    (tmp_path / "o").mkdir()
+    (tmp_path / "o" / "loans.txt").write_text("x\n")
+    with pytest.raises(ValueError):
+        P.convert(spark, str(tmp_path / "o"), str(tmp_path / "o"), str(tmp_path / "out"))
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_bytes(b"no parquet")
+    with pytest.raises(Exception, match="(?i)parquet|read"):
+        existing_partitions(spark, str(tmp_path / "bad"), P.KEYS)
+    assert existing_partitions(spark, str(tmp_path / "none"), P.KEYS) is None
+
+
+def test_an_empty_table_can_be_read_back(spark, tmp_path):
+    empty = spark.createDataFrame([], "vintage_year int, vintage_quarter short, x string")
+    write_table(empty, str(tmp_path / "t"), P.KEYS)
+    assert spark.read.parquet(str(tmp_path / "t")).columns == empty.columns
+    more = spark.createDataFrame([(2006, 1, "a")], empty.schema)
+    write_table(more, str(tmp_path / "t"), P.KEYS)
+    assert spark.read.parquet(str(tmp_path / "t")).select("x", "vintage_year").collect() == [
+        ("a", 2006)]

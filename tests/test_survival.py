@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loanlife.operators import life, metrics, ranks
 from loanlife.operators.concordance import concordance
 from loanlife.operators.features import (Encoder, Imputer, Preprocessor, chrono_split,
-                                         period_boundaries, stratified_split)
+                                         chrono_split, stratified_split)
 from loanlife.operators.outcomes import first_termination, join_one_to_one, outcomes
 
 
@@ -139,10 +139,15 @@ def test_stratified_split_shares(spark):
 
 
 def test_period_boundaries(spark):
-    assert period_boundaries([(1, 10), (2, 10), (3, 10)], 0.15, 0.15) == (2, 3)
-    assert period_boundaries([(k, 1) for k in range(100)], 0.15, 0.15) == (70, 85)
+    def ends(counts):
+        rows = spark.createDataFrame([(k,) for k, n in counts for _ in range(n)], "p int")
+        got = chrono_split(rows, "p").groupBy("split").max("p").collect()
+        top = {r[0]: r[1] for r in got}
+        return top["train"], top["val"]
+    assert ends([(1, 10), (2, 10), (3, 10)]) == (1, 2)
+    assert ends([(k, 1) for k in range(100)]) == (69, 84)
     with pytest.raises(ValueError):
-        period_boundaries([(1, 5), (2, 5)], 0.1, 0.1)
+        ends([(1, 5), (2, 5)])
     bad = spark.createDataFrame([(1,), (None,)], "p int")
     with pytest.raises(ValueError):
         chrono_split(bad, "p")
