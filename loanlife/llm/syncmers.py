@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanlife.llm.words import mix
+from loanlife.operators.ranks import bucket_edges, with_bucket
 
 K, S, SIZE = 8, 3, 128
-RANGES = 4096
+RANGES = 10_000
 _HEX = np.frombuffer(b"0123456789abcdef", dtype=np.uint8)
 
 
@@ -106,13 +107,12 @@ def _neighbours(docs: DataFrame, ranges: int) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bounds = texts.agg(F.percentile_approx(
-        "doc_id", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0] or []
-    bounds = sorted(set(bounds))
+    edges = bucket_edges(texts, "doc_id", ranges)
     # Nulls come after all ids in descending order.
-    part = F.when(F.col("doc_id").isNull(), -1).otherwise(
-        _bisect(F.col("doc_id"), bounds)).cast("int")
-    dealt = texts.withColumn("range", part)
+    known = with_bucket(texts.withColumn("place", F.coalesce("doc_id", F.lit(0))), "place",
+                        sorted({float(e) for e in edges}), "range")
+    dealt = known.select("doc_id", "text", F.when(F.col("doc_id").isNull(), -1)
+                         .otherwise(F.col("range")).cast("int").alias("range"))
     heads = sorted((r["range"], r["head"]) for r in dealt.groupBy("range").agg(
         F.max("doc_id").alias("head")).collect())
     # The head of a range follows the last row of the next higher one; the highest follows the
@@ -128,16 +128,6 @@ def _neighbours(docs: DataFrame, ranges: int) -> DataFrame:
                                   F.col("text")))
 
 
-def _bisect(value, bounds: list[int]):
-    """Number of bounds that are not above ``value``, by nested comparisons."""
-    def node(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(value < bounds[mid], node(low, mid)).otherwise(node(mid + 1, high))
-    return node(0, len(bounds))
-
-
 def fingerprints(docs: DataFrame, k: int = K, s: int = S, size: int = SIZE,
                  ranges: int | None = None) -> DataFrame:
     """One row per row of ``docs(doc_id, text)`` with its fingerprint and that of its edited text.
@@ -150,8 +140,8 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S, size: int = SIZE,
     an empty text has an empty fingerprint, equal to other empty ones. A single document is its own
     next. Other columns are ignored.
     """
-    if ranges is None:
-        ranges = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if ranges is None:  # several for each task, so that tasks get about equal shares
+        ranges = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = min(max(ranges, 2), RANGES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
