@@ -144,11 +144,11 @@ def binary_design(d: Data) -> tuple[DataFrame, list[str]]:
     """Encoded, complete rows of all splits with their labels; scaling is learnt on train."""
     rows, names = T.one_hot(
         labelled_splits(d, stored_macro_rows(d)),
-        [c for c in K.CATEGORICAL_FEATURES if c != "state"])
+        K.CATEGORICAL_FEATURES)
     features = sorted([c for c in K.STATIC_FEATURES + K.MACRO_FEATURES
                        if c not in K.CATEGORICAL_FEATURES] + names)
     rows = rows.dropna(subset=features).select(K.ID, "split", "label", *features)
-    return rows, features
+    return materialize(rows, "design"), features
 
 
 def scaled(rows: DataFrame, features: list[str]) -> DataFrame:
@@ -157,7 +157,11 @@ def scaled(rows: DataFrame, features: list[str]) -> DataFrame:
 
 
 def _evaluate(model, df: DataFrame, name: str) -> DataFrame:
-    out = M.score(model, df).select("split", F.col("label").alias("y"), "p")
+    return _metrics(M.score(model, df), name)
+
+
+def _metrics(scored: DataFrame, name: str) -> DataFrame:
+    out = scored.select("split", F.col("label").alias("y"), "p")
     return E.binary_metrics(out, "y", "p", ["split"]).select(F.lit(name).alias("model"), "*")
 
 
@@ -165,15 +169,16 @@ def _evaluate(model, df: DataFrame, name: str) -> DataFrame:
 def ml_logistic(d: Data) -> DataFrame:
     rows, features = binary_design(d)
     data = M.assemble(scaled(rows, features), features)
-    model = M.fit_logistic(data.where("split = 'train'"), "label", max_iter=30)
-    return rounded(_evaluate(model, data, "L1 logistic"))
+    model = M.fit_logistic(data.where("split = 'train'"), "label")
+    p = M.logistic_probability(model, features)
+    return rounded(_metrics(data.withColumn("p", p), "L1 logistic"))
 
 
 @query("ml_logistic_coefs")
 def ml_logistic_coefs(d: Data) -> DataFrame:
     rows, features = binary_design(d)
     train = M.assemble(scaled(rows, features), features).where("split = 'train'")
-    model = M.fit_logistic(train, "label", max_iter=30)
+    model = M.fit_logistic(train, "label")
     return rounded(M.odds_table(model, features, d.spark))
 
 
@@ -181,7 +186,7 @@ def ml_logistic_coefs(d: Data) -> DataFrame:
 def ml_random_forest(d: Data) -> DataFrame:
     rows, features = binary_design(d)
     data = M.assemble(rows, features)
-    model = M.fit_forest(data.where("split = 'train'"), "label", trees=20, depth=8, min_leaf=50)
+    model = M.fit_forest(data.where("split = 'train'"), "label")
     return rounded(_evaluate(model, data, "Random Forest"))
 
 
@@ -189,17 +194,27 @@ def ml_random_forest(d: Data) -> DataFrame:
 def ml_forest_importance(d: Data) -> DataFrame:
     rows, features = binary_design(d)
     train = M.assemble(rows, features).where("split = 'train'")
-    model = M.fit_forest(train, "label", trees=20, depth=8, min_leaf=50)
+    model = M.fit_forest(train, "label")
     return rounded(M.importance_table(model, features, d.spark))
 
 
-@query("ml_gbt")
-def ml_gbt(d: Data) -> DataFrame:
+def _boosted(d: Data, preset: str) -> DataFrame:
+    """Fitted, stored, loaded again and scored on all splits."""
     rows, features = binary_design(d)
     data = M.assemble(rows, features)
-    model = M.fit_gbt(data.where("split = 'train'"), "label", "depth", maxIter=8, maxDepth=4,
-                      minInstancesPerNode=50)
-    return rounded(_evaluate(model, data, "Boosted trees"))
+    path = scratch_path(d.spark, "boosted")
+    M.save_model(M.fit_gbt(data.where("split = 'train'"), "label", preset), path)
+    return rounded(_evaluate(M.load_model(path), data, f"Boosted trees, {preset}"))
+
+
+@query("ml_gbt")
+def ml_gbt(d: Data) -> DataFrame:
+    return _boosted(d, "depth")
+
+
+@query("ml_gbt_leaf")
+def ml_gbt_leaf(d: Data) -> DataFrame:
+    return _boosted(d, "leaf")
 
 
 # ---- neural Cox ------------------------------------------------------------------------------
@@ -230,11 +245,10 @@ def mlp_log_risk_query(d: Data) -> DataFrame:
 
 @query("deep_cox_history")
 def deep_cox_history(d: Data) -> DataFrame:
-    rows = stored_rows(d).select(K.ID, K.TIME, K.EVENT, "fico", "ltv", "dti", "orig_rate",
-                                 "channel")
+    rows = stored_rows(d).select(K.ID, K.TIME, K.EVENT, *K.STATIC_FEATURES)
     tagged = T.stratified_split(rows, K.ID, K.EVENT, {"train": 0.85, "val": 0.15})
     train, val = tagged.where("split = 'train'"), tagged.where("split = 'val'")
-    prep = T.Preprocessor.fit(train, ["fico", "ltv", "dti", "orig_rate", "channel"])
+    prep = T.Preprocessor.fit(train, K.STATIC_FEATURES)
     _, history = mlp_cox_fit(train, val, [e for _, e in prep.items()], hidden=(8, 4), epochs=3,
                              learning_rate=0.02, cindex_every=2)
     return history.drop("epoch_seconds", "elapsed_seconds")
@@ -244,11 +258,11 @@ def deep_cox_history(d: Data) -> DataFrame:
 def protocol(d: Data) -> DataFrame:
     """Both models from the early vintages, scored on the three later evaluation sets."""
     rows = modelling_rows(d)
-    features = ["fico", "ltv", "dti", "orig_rate", "loan_purpose", "channel", *K.MACRO_FEATURES]
+    features = [*K.STATIC_FEATURES, *K.MACRO_FEATURES]
     part = lambda s: rows.where(F.col("split") == s).select(K.ID, K.TIME, K.EVENT, *features)
     horizons = {"test": 60, "backtest_a": 24, "backtest_b": 12}
     result = run_protocol(part("train"), {n: (part(n), h) for n, h in horizons.items()}, features,
-                          hidden=(8,), epochs=3, batch_norm=False, learning_rate=0.02,
+                          hidden=(8,), epochs=3, learning_rate=0.02,
                           cindex_every=3)
     parts = [df.select(F.lit(n).alias("split"), K.ID,
                        F.col(f"cox_prob_prepay_{horizons[n]}mo").alias("cox_prob"),

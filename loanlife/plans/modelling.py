@@ -420,7 +420,7 @@ def cox_fit_pair(d: Data) -> DataFrame:
     return rounded(model.summary(d.spark).select("feature", "coef", "hazard_ratio", "se"))
 
 
-STATIC = [c for c in K.STATIC_FEATURES if c != "state"]
+STATIC = list(K.STATIC_FEATURES)
 
 
 def static_design(d: Data) -> tuple[DataFrame, list[str]]:
@@ -429,15 +429,15 @@ def static_design(d: Data) -> tuple[DataFrame, list[str]]:
     rows = stored_rows(d).select(K.ID, K.TIME, K.EVENT, *STATIC)
     encoded, names = T.one_hot(rows, cats)
     features = [c for c in STATIC if c not in cats] + names
-    return encoded.dropna(subset=features), features
+    return materialize(encoded.dropna(subset=features), "design"), features
 
 
 def macro_design(d: Data) -> tuple[DataFrame, list[str]]:
     cats = [c for c in K.CATEGORICAL_FEATURES if c in STATIC]
-    rows = stored_macro_rows(d).drop("state")
+    rows = stored_macro_rows(d)
     encoded, names = T.one_hot(rows, cats)
     features = [c for c in STATIC if c not in cats] + names + K.MACRO_FEATURES
-    return encoded.dropna(subset=features), features
+    return materialize(encoded.dropna(subset=features), "design"), features
 
 
 @query("cox_fit_coefs")
@@ -470,8 +470,7 @@ def score_from_saved(d: Data) -> DataFrame:
     """Fit on the early vintages, store, load again and score the late ones at three horizons."""
     rows = stored_rows(d)
     train = rows.where("vintage_year < 2000")
-    prep = T.Preprocessor.fit(train, ["fico", "ltv", "dti", "orig_rate", "loan_purpose",
-                                      "channel"]).dropping_references()
+    prep = T.Preprocessor.fit(train, STATIC).dropping_references()
     model = cox_fit(train, dict(prep.items()))
     path = scratch_path(d.spark, "cox")
     model.save(d.spark, path)
@@ -496,9 +495,8 @@ def model_comparison(d: Data) -> DataFrame:
 @query("sensitivity_grid")
 def sensitivity(d: Data) -> DataFrame:
     rows, features = static_design(d)
-    chosen = ["fico", "ltv", "dti", "orig_rate", "orig_upb", "vintage_year"]
     return rounded(sensitivity_grid(
-        rows, {"static": chosen, "rate_only": ["orig_rate"]}, penalizers=[0.001, 0.01, 0.1],
+        rows, {"static": features, "rate_only": ["orig_rate"]},
         samples=[None, 4000], windows={"all": None, "1995-1997": [1995, 1996, 1997]}))
 
 
