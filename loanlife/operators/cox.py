@@ -133,17 +133,47 @@ def _array_rows(keys: Sequence[int], values: Sequence[np.ndarray]) -> pa.RecordB
          pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))], ["k", "v"])
 
 
+SALTS = 16
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Element-wise sums per key of the (k, v) rows of one task."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            row = v.values.to_numpy()
+            old = total.get(k)
+            if old is None:
+                total[k] = row.astype(float)
+            elif len(old) >= len(row):
+                old[:len(row)] += row
+            else:
+                total[k] = row + np.pad(old, (0, len(row) - len(old)))
+    if total:
+        yield _array_rows(list(total), list(total.values()))
+
+
 def sum_arrays(parts: DataFrame, max_keys: int = MAX_MONTHS) -> tuple[np.ndarray, np.ndarray]:
-    """Element-wise sums per key of the partition results, as (sorted keys, matrix)."""
-    table = parts.select("k", F.posexplode("v").alias("i", "x")).groupBy("k", "i").agg(
-        F.sum("x").alias("x")).toArrow()
-    k, i, x = (table.column(c).to_numpy() for c in ("k", "i", "x"))
-    keys, row = np.unique(k, return_inverse=True)
-    if len(keys) > max_keys:
+    """Element-wise sums per key of the partition results, as (sorted keys, matrix).
+
+    A tree of two levels over whole arrays: first per key and one of ``SALTS`` groups of tasks, then
+    per key. The rows shuffled are keys x tasks, whatever the arrays' length.
+    """
+    schema = "k int, v array<double>"
+    first = (parts.select("k", "v", (F.spark_partition_id() % SALTS).alias("s"))
+             .repartition("k", "s").select("k", "v").mapInArrow(_add_up, schema))
+    whole = first.repartition("k").mapInArrow(_add_up, schema)
+    table = whole.limit(max_keys + 1).toArrow()
+    if table.num_rows > max_keys:
         raise ValueError(f"more than {max_keys} distinct durations")
-    out = np.zeros((len(keys), int(i.max()) + 1 if len(i) else 0))
-    out[row, i] = x
-    return keys, out
+    if not table.num_rows:
+        return np.zeros(0, dtype=np.int32), np.zeros((0, 0))
+    keys, column = table.column("k").to_numpy(), table.column("v").to_pylist()
+    order = np.argsort(keys)
+    out = np.zeros((len(keys), max(map(len, column))))
+    for i, j in enumerate(order):
+        out[i, :len(column[j])] = column[j]
+    return keys[order], out
 
 
 class Design:

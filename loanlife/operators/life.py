@@ -157,7 +157,11 @@ def logrank(df: DataFrame, group: str, time: str = TIME, event: str = EVENT,
 
     Spark reduces loans to one cell per (group, month); the driver gets those cells only.
     """
-    cells = bounded_collect(logrank_cells(df, group, time, event), max_cells, "log-rank cells")
+    return _logrank(bounded_collect(logrank_cells(df, group, time, event), max_cells,
+                                    "log-rank cells"))
+
+
+def _logrank(cells: list) -> LogrankResult:
     groups = sorted({r["grp"] for r in cells})
     times = sorted({r["t"] for r in cells})
     gi, ti = {g: i for i, g in enumerate(groups)}, {t: i for i, t in enumerate(times)}
@@ -183,11 +187,19 @@ def logrank_groups(df: DataFrame, group: str, time: str = TIME, event: str = EVE
 
 
 def rank_logrank(df: DataFrame, groups: Mapping[str, Column], time: str = TIME,
-                 event: str = EVENT) -> DataFrame:
-    """One log-rank test per covariate, strongest first."""
+                 event: str = EVENT, max_cells: int = 1_000_000) -> DataFrame:
+    """One log-rank test per covariate, strongest first; all cells come from one scan."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), g.cast("string").alias("grp"))
+                                for n, g in groups.items()])).alias("p")
+    rows = df.where(F.col(time).isNotNull() & F.col(event).isNotNull())
+    long = rows.select(whole_number(rows, time).alias("t"), F.col(event).cast("bigint").alias("e"),
+                       pairs).where("p.grp is not null")
+    cells = bounded_collect(long.groupBy("p.name", "p.grp", "t").agg(
+        F.count(F.lit(1)).alias("removed"), F.sum("e").alias("observed")), max_cells,
+        "log-rank cells")
     out = []
-    for name, expr in groups.items():
-        res = logrank(df.withColumn("__grp", expr), "__grp", time, event)
+    for name in groups:
+        res = _logrank([c for c in cells if c["name"] == name])
         out.append((name, len(res.groups), int(res.n.sum()), res.chi2, res.p_value))
     return df.sparkSession.createDataFrame(
         out, "covariate string, n_groups int, n_loans bigint, chi2 double, p_value double"

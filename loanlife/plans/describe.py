@@ -365,15 +365,21 @@ def _register_strata() -> None:
 _register_strata()
 
 
-@query("loglog_survival", f"""WITH {life_sql(cut_sql('fico', *K.BINS['fico']),
+def _register_loglog() -> None:
+    for name, column in (("loglog_survival", "fico"), ("loglog_ltv", "ltv"),
+                         ("loglog_orig_rate", "orig_rate")):
+        @query(name, f"""WITH {life_sql(cut_sql(column, *K.BINS[column]),
 where='event_time_months > 0')},
 k AS (SELECT *, sum(removed) OVER (PARTITION BY grp) AS n_group FROM km)
 SELECT grp, t, round(ln(t), 6) AS log_t, round(ln(-ln(survival)), 6) AS loglog_s FROM k
 WHERE n_group >= 200 AND t > 0 AND survival > 0 AND survival < 1""", SURV)
-def loglog_survival(d: Data) -> DataFrame:
-    loans = event_flag(d.loans, min_duration=1).withColumn("grp", group_column("fico"))
-    table = life.stratified_survival(loans, "grp", min_group=200)
-    return rounded(life.loglog(table).select("grp", "t", "log_t", "loglog_s"))
+        def curves(d: Data, column=column) -> DataFrame:
+            loans = event_flag(d.loans, min_duration=1).withColumn("grp", group_column(column))
+            table = life.stratified_survival(loans, "grp", min_group=200)
+            return rounded(life.loglog(table).select("grp", "t", "log_t", "loglog_s"))
+
+
+_register_loglog()
 
 
 def logrank_sql(group: str, source: str = "fx_surv") -> str:
