@@ -94,20 +94,33 @@ def quote_links(parsed: DataFrame) -> DataFrame:
 
 def threads(parents: DataFrame) -> DataFrame:
     """``(conv_id, turn, parent_turn, root_turn, depth)`` of ``parents(conv_id, turn,
-    parent_turn)``, one row per message key, by doubling the distance looked up each round."""
-    state = materialize(parents.select(
-        "conv_id", "turn", "parent_turn", F.coalesce("parent_turn", "turn").alias("root_turn"),
-        F.col("parent_turn").isNotNull().cast("int").alias("depth")), "threads")
+    parent_turn)``, one row per message key.
+
+    Every reply knows a message above it, first its parent. Each round, replies that do not know
+    their thread's root yet take over what the message they know of knows, which doubles the
+    distance; those that know it are not joined again.
+    """
+    key = ["conv_id", "root_turn"]
+    replies = parents.where("parent_turn is not null").select(
+        "conv_id", "turn", F.col("parent_turn").alias("root_turn"), F.lit(1).alias("depth"))
+    above = replies.select("conv_id", F.col("turn").alias("root_turn"), F.lit(False).alias("ends"))
+    known = materialize(replies.join(above, key, "left").select(
+        "conv_id", "turn", "root_turn", "depth", F.coalesce("ends", F.lit(True)).alias("ends")),
+        "threads")
     while True:
-        up = state.where("depth > 0").select("conv_id", F.col("turn").alias("root_turn"),
-                                             F.col("root_turn").alias("higher"),
-                                             F.col("depth").alias("more"))
-        if up.join(state.where("depth > 0").select("conv_id", "root_turn"),
-                   ["conv_id", "root_turn"], "left_semi").isEmpty():
-            return state
-        state = materialize(state.join(up, ["conv_id", "root_turn"], "left").select(
-            "conv_id", "turn", "parent_turn", F.coalesce("higher", "root_turn").alias("root_turn"),
-            (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "threads")
+        open_ = known.where("not ends")
+        if open_.isEmpty():
+            break
+        up = known.select("conv_id", F.col("turn").alias("root_turn"),
+                          F.col("root_turn").alias("higher"), F.col("depth").alias("more"),
+                          F.col("ends").alias("up_ends"))
+        further = open_.join(up, key).select(
+            "conv_id", "turn", F.col("higher").alias("root_turn"),
+            (F.col("depth") + F.col("more")).alias("depth"), F.col("up_ends").alias("ends"))
+        known = materialize(known.where("ends").union(further), "threads")
+    return (parents.join(known.drop("ends"), ["conv_id", "turn"], "left")
+            .select("conv_id", "turn", "parent_turn", F.coalesce("root_turn", "turn")
+                    .alias("root_turn"), F.coalesce("depth", F.lit(0)).alias("depth")))
 
 
 def conversations(messages: DataFrame) -> DataFrame:
