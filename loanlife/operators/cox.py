@@ -133,7 +133,7 @@ def _array_rows(keys: Sequence[int], values: Sequence[np.ndarray]) -> pa.RecordB
          pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))], ["k", "v"])
 
 
-SALTS = 16
+SALTS = 8
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,19 +156,21 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sum_arrays(parts: DataFrame, max_keys: int = MAX_MONTHS) -> tuple[np.ndarray, np.ndarray]:
     """Element-wise sums per key of the partition results, as (sorted keys, matrix).
 
-    A tree of two levels over whole arrays: first per key and one of ``SALTS`` groups of tasks, then
-    per key. The rows shuffled are keys x tasks, whatever the arrays' length.
+    Tasks add whole arrays per key and one of ``SALTS`` groups of tasks; the driver adds the groups.
+    The rows shuffled are keys x tasks, those collected keys x ``SALTS``, whatever the arrays' length.
     """
-    schema = "k int, v array<double>"
-    first = (parts.select("k", "v", (F.spark_partition_id() % SALTS).alias("s"))
-             .repartition("k", "s").select("k", "v").mapInArrow(_add_up, schema))
-    whole = first.repartition("k").mapInArrow(_add_up, schema)
-    table = whole.limit(max_keys + 1).toArrow()
-    if table.num_rows > max_keys:
+    groups = (parts.select("k", "v", (F.spark_partition_id() % SALTS).alias("s"))
+              .repartition("k", "s").select("k", "v").mapInArrow(_add_up, "k int, v array<double>"))
+    table = groups.limit(max_keys * SALTS + 1).toArrow()
+    if table.num_rows > max_keys * SALTS:
         raise ValueError(f"more than {max_keys} distinct durations")
-    if not table.num_rows:
+    batches = table.combine_chunks().to_batches()
+    got = next(_add_up(batches), None)
+    if got is None:
         return np.zeros(0, dtype=np.int32), np.zeros((0, 0))
-    keys, column = table.column("k").to_numpy(), table.column("v").to_pylist()
+    keys, column = got.column(0).to_numpy(), got.column(1).to_pylist()
+    if len(keys) > max_keys:
+        raise ValueError(f"more than {max_keys} distinct durations")
     order = np.argsort(keys)
     out = np.zeros((len(keys), max(map(len, column))))
     for i, j in enumerate(order):
