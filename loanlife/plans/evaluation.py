@@ -254,8 +254,7 @@ def deep_cox_history(d: Data) -> DataFrame:
     tagged = T.stratified_split(rows, K.ID, K.EVENT, {"train": 0.85, "val": 0.15})
     train, val = tagged.where("split = 'train'"), tagged.where("split = 'val'")
     prep = T.Preprocessor.fit(train, K.STATIC_FEATURES)
-    _, history = mlp_cox_fit(train, val, [e for _, e in prep.items()], hidden=(8, 4), epochs=3,
-                             learning_rate=0.02, cindex_every=2)
+    _, history = mlp_cox_fit(train, val, [e for _, e in prep.items()])
     return history.drop("epoch_seconds", "elapsed_seconds")
 
 
@@ -266,9 +265,7 @@ def protocol(d: Data) -> DataFrame:
     features = [*K.STATIC_FEATURES, *K.MACRO_FEATURES]
     part = lambda s: rows.where(F.col("split") == s).select(K.ID, K.TIME, K.EVENT, *features)
     horizons = {"test": 60, "backtest_a": 24, "backtest_b": 12}
-    result = run_protocol(part("train"), {n: (part(n), h) for n, h in horizons.items()}, features,
-                          hidden=(8,), epochs=3, learning_rate=0.02,
-                          cindex_every=3)
+    result = run_protocol(part("train"), {n: (part(n), h) for n, h in horizons.items()}, features)
     parts = [df.select(F.lit(n).alias("split"), K.ID,
                        F.col(f"cox_prob_prepay_{horizons[n]}mo").alias("cox_prob"),
                        F.col(f"deep_cox_prob_prepay_{horizons[n]}mo").alias("deep_prob"))
