@@ -5,6 +5,7 @@ import inspect
 import pytest
 
 import __spark_entry__ as entry
+from loanlife.operators import classify
 from loanlife.plans import evaluation, protocol
 
 SF = "/root/testdata/sf0.001"
@@ -42,3 +43,21 @@ def test_neural_queries_train_in_full(spark, monkeypatch, name, module, epochs,
     assert {k: seen[k] for k in NEURAL} == NEURAL
     assert (seen["epochs"], seen["patience"]) == (epochs, patience)
     assert seen["weights"] is None
+
+
+@pytest.mark.parametrize("name, depth, leaf", [("ml_gbt", 6, 800), ("ml_gbt_leaf", 10, 200)])
+def test_boosting_queries_have_all_rounds(spark, monkeypatch, name, depth, leaf):
+    seen = {}
+
+    class Learner:
+        def __init__(self, **settings):
+            seen.update(settings)
+
+        def fit(self, df):
+            raise Reached
+
+    monkeypatch.setattr(classify, "GBTClassifier", Learner)
+    with pytest.raises(Reached):
+        QUERIES[name](spark, SF)
+    assert (seen["maxIter"], seen["stepSize"]) == (500, 0.05)
+    assert (seen["maxDepth"], seen["minInstancesPerNode"]) == (depth, leaf)
