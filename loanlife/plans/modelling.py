@@ -492,12 +492,19 @@ def model_comparison(d: Data) -> DataFrame:
         "static": cox_fit(static_rows, static_names), "macro": cox_fit(macro_rows, macro_names)}))
 
 
+# Sample sizes of the grid; two long, overlapping windows, early and late.
+SAMPLES = [None, 200_000, 500_000, 2_000_000]
+WINDOWS = {"all": None, "1995-1999": list(range(1995, 2000)), "1997-2001": list(range(1997, 2002))}
+
+
 @query("sensitivity_grid")
 def sensitivity(d: Data) -> DataFrame:
-    rows, features = static_design(d)
+    """Static and macro models over penalties, sample sizes and vintage windows."""
+    static_rows, static_names = static_design(d)
+    macro_rows, macro_names = macro_design(d)
     return rounded(sensitivity_grid(
-        rows, {"static": features, "rate_only": ["orig_rate"]},
-        samples=[None, 4000], windows={"all": None, "1995-1997": [1995, 1996, 1997]}))
+        {"static": static_rows, "macro": macro_rows},
+        {"static": static_names, "macro": macro_names}, samples=SAMPLES, windows=WINDOWS))
 
 
 @query("concordance_models")

@@ -5,8 +5,9 @@ import inspect
 import pytest
 
 import __spark_entry__ as entry
+from loanlife.columns import EVENT, ID, MACRO_FEATURES, TIME
 from loanlife.operators import classify
-from loanlife.plans import evaluation, protocol
+from loanlife.plans import evaluation, modelling, protocol, sensitivity
 
 SF = "/root/testdata/sf0.001"
 QUERIES = entry.queries()
@@ -61,3 +62,31 @@ def test_boosting_queries_have_all_rounds(spark, monkeypatch, name, depth, leaf)
         QUERIES[name](spark, SF)
     assert (seen["maxIter"], seen["stepSize"]) == (500, 0.05)
     assert (seen["maxDepth"], seen["minInstancesPerNode"]) == (depth, leaf)
+
+
+def test_sensitivity_axes(spark, monkeypatch):
+    """Reference samples, two long windows and the macro model reach the grid."""
+    seen = _settings(monkeypatch, modelling, "sensitivity_grid",
+                     lambda: QUERIES["sensitivity_grid"](spark, SF))
+    assert seen["samples"] == [None, 200_000, 500_000, 2_000_000]
+    assert seen["penalizers"] == (0.001, 0.01, 0.05, 0.1)
+    years = [w for w in seen["windows"].values() if w is not None]
+    assert len(years) == 2 and all(len(w) == 5 for w in years)
+    assert set(MACRO_FEATURES) <= set(seen["models"]["macro"])
+    assert not set(MACRO_FEATURES) & set(seen["models"]["static"])
+    assert set(seen["models"]["macro"]) <= set(seen["df"]["macro"].columns)
+
+
+def test_grid_samples_at_or_above_all_rows_share_a_fit(spark, monkeypatch):
+    rows = [(i, 1 + i % 7, i % 3 % 2, float(i * 37 % 11), 1995 + i % 2) for i in range(60)]
+    df = spark.createDataFrame(
+        rows, f"{ID} bigint, {TIME} int, {EVENT} int, a double, vintage_year int")
+    calls = []
+    fit = sensitivity.cox_fit
+    monkeypatch.setattr(sensitivity, "cox_fit",
+                        lambda *a, **k: calls.append(1) or fit(*a, **k))
+    got = sensitivity.sensitivity_grid(
+        {"m": df}, {"m": ["a"]}, penalizers=[0.1], samples=[None, 20, 60, 100]).collect()
+    assert [(r["n_sample"], r["n"]) for r in got] == [(None, 60), (20, 20), (60, 60), (100, 60)]
+    assert got[0]["coef"] == got[2]["coef"] == got[3]["coef"] != got[1]["coef"]
+    assert len(calls) == 2
