@@ -241,3 +241,68 @@ def op1_quotations(spark, sf_dir):
     mail = _MAIL.replace("VARCHAR(20)", "STRING").replace("FROM conversations", "FROM {given}")
     return conversations(spark.sql(f"WITH {mail} SELECT * FROM mail",
                                    given=table(spark, sf_dir, "conversations")))
+
+
+@query()
+def op11_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from loanlife.llm.packing import pack
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return pack(table(spark, sf_dir, "documents"), file.read())
+
+
+SEARCH_SQL = r"""
+WITH a AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL
+           SELECT 1, item_id, text FROM benchmark),
+x AS (SELECT kind, id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM a),
+d AS (SELECT id, len(ts) AS n FROM x WHERE kind = 0 AND len(ts) > 0),
+s AS (SELECT CAST(count(*) AS BIGINT) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM d),
+q AS (SELECT DISTINCT id AS item_id, unnest(ts) AS t FROM x WHERE kind = 1),
+p AS (SELECT id AS doc_id, t, count(*) AS tf FROM (
+    SELECT id, unnest(ts) AS t FROM x WHERE kind = 0) WHERE t IN (SELECT t FROM q) GROUP BY 1, 2),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * big_n + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+      FROM p, s GROUP BY t, big_n),
+m AS (SELECT id AS doc_id, 50 + (50 * n * big_n) // big_l AS m FROM d, s),
+r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+      FROM q JOIN p USING (t) JOIN w USING (t) JOIN m USING (doc_id) GROUP BY 1, 2),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT)
+      AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT * FROM k WHERE rank <= 50
+"""
+
+
+@query(SEARCH_SQL)
+def op12_ranked_search(spark, sf_dir):
+    from loanlife.llm.ranked import search
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+NEGATIVES_SQL = r"""
+WITH e AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT)
+      AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same,
+      CAST(list_inner_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS BIGINT) AS score
+    FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT a, b, score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS INT) AS rank,
+  s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+QUALIFY rank <= 5
+"""
+
+
+@query(NEGATIVES_SQL)
+def op13_hard_negatives(spark, sf_dir):
+    """The labels first change where the id is divisible by 7."""
+    from pyspark.sql import functions as F
+
+    from loanlife.llm.negatives import hard_negatives
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", changed))

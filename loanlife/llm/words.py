@@ -99,11 +99,15 @@ def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int
         yield at, len(lengths)
 
 
-def words(column: pa.Array, powers: Powers, lower: bool = False) -> Words:
-    """Split and hash the words of some rows; ``lower`` folds A-Z only."""
+def words(column: pa.Array, powers: Powers, lower: bool = False,
+          gaps: np.ndarray = _GAP) -> Words:
+    """Split and hash the words of some rows; ``lower`` folds A-Z only.
+
+    ``gaps`` tells of each byte whether it separates words; a blank must.
+    """
     data, begins = text_bytes(column)
     folded = _LOWER[data] if lower else data
-    gap = _GAP[data]
+    gap = gaps[data]
     flips = np.flatnonzero(np.diff(np.concatenate([[True], gap]).view(np.int8)))
     starts, ends = flips[0::2], flips[1::2]
     up, down = powers.upto(len(data) + 1)
