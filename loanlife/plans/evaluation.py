@@ -10,7 +10,9 @@ from loanlife import columns as K
 from loanlife.operators import classify as M
 from loanlife.operators import features as T
 from loanlife.operators import metrics as E
+from loanlife.operators.boosting import fit_boosted
 from loanlife.operators.neural import MlpWeights, mlp_cox_fit, mlp_log_risk
+from loanlife.operators.trees import Trees
 from loanlife.plans.fixtures import Data
 from loanlife.plans.modelling import (_splits_sql, cox_rows, labelled_splits,
                                       modelling_rows, stored_macro_rows, stored_rows)
@@ -156,10 +158,6 @@ def scaled(rows: DataFrame, features: list[str]) -> DataFrame:
     return prep.transform(rows, [K.ID, "split", "label"])
 
 
-def _evaluate(model, df: DataFrame, name: str) -> DataFrame:
-    return _metrics(M.score(model, df), name)
-
-
 def _metrics(scored: DataFrame, name: str) -> DataFrame:
     out = scored.select("split", F.col("label").alias("y"), "p")
     return E.binary_metrics(out, "y", "p", ["split"]).select(F.lit(name).alias("model"), "*")
@@ -170,8 +168,7 @@ def ml_logistic(d: Data) -> DataFrame:
     rows, features = binary_design(d)
     data = M.assemble(scaled(rows, features), features)
     model = M.fit_logistic(data.where("split = 'train'"), "label")
-    p = M.logistic_probability(model, features)
-    return rounded(_metrics(data.withColumn("p", p), "L1 logistic"))
+    return rounded(_metrics(M.score(model, data, features), "L1 logistic"))
 
 
 @query("ml_logistic_coefs")
@@ -185,9 +182,8 @@ def ml_logistic_coefs(d: Data) -> DataFrame:
 @query("ml_random_forest")
 def ml_random_forest(d: Data) -> DataFrame:
     rows, features = binary_design(d)
-    data = M.assemble(rows, features)
-    model = M.fit_forest(data.where("split = 'train'"), "label")
-    return rounded(_evaluate(model, data, "Random Forest"))
+    model = M.fit_forest(M.assemble(rows, features).where("split = 'train'"), "label")
+    return rounded(_metrics(M.score(model, rows, features), "Random Forest"))
 
 
 @query("ml_forest_importance")
@@ -201,10 +197,10 @@ def ml_forest_importance(d: Data) -> DataFrame:
 def _boosted(d: Data, preset: str) -> DataFrame:
     """Fitted, stored, loaded again and scored on all splits."""
     rows, features = binary_design(d)
-    data = M.assemble(rows, features)
     path = scratch_path(d.spark, "boosted")
-    M.save_model(M.fit_gbt(data.where("split = 'train'"), "label", preset), path)
-    return rounded(_evaluate(M.load_model(path), data, f"Boosted trees, {preset}"))
+    fit_boosted(rows.where("split = 'train'"), "label", features, preset).save(d.spark, path)
+    scored = M.score(Trees.load(d.spark, path), rows, features)
+    return rounded(_metrics(scored, f"Boosted trees, {preset}"))
 
 
 @query("ml_gbt")

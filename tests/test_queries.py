@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 # Long fits, covered by tests of their own; here all others run.
-SLOW = {"sensitivity_grid", "ml_gbt", "ml_gbt_leaf", "ml_random_forest", "ml_forest_importance",
+SLOW = {"sensitivity_grid", "ml_gbt", "ml_gbt_leaf", "ml_forest_importance",
         "model_comparison", "concordance_models", "deep_cox_history", "protocol", "pipeline",
         *(n for n in QUERIES if n.startswith("op"))}
 

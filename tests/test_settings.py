@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from loanlife.columns import EVENT, ID, MACRO_FEATURES, TIME
-from loanlife.operators import classify
+from loanlife.operators import boosting
 from loanlife.plans import evaluation, modelling, protocol, sensitivity
 
 SF = "/root/testdata/sf0.001"
@@ -46,22 +46,14 @@ def test_neural_queries_train_in_full(spark, monkeypatch, name, module, epochs,
     assert seen["weights"] is None
 
 
-@pytest.mark.parametrize("name, depth, leaf", [("ml_gbt", 6, 800), ("ml_gbt_leaf", 10, 200)])
-def test_boosting_queries_have_all_rounds(spark, monkeypatch, name, depth, leaf):
-    seen = {}
-
-    class Learner:
-        def __init__(self, **settings):
-            seen.update(settings)
-
-        def fit(self, df):
-            raise Reached
-
-    monkeypatch.setattr(classify, "GBTClassifier", Learner)
-    with pytest.raises(Reached):
-        QUERIES[name](spark, SF)
-    assert (seen["maxIter"], seen["stepSize"]) == (500, 0.05)
-    assert (seen["maxDepth"], seen["minInstancesPerNode"]) == (depth, leaf)
+@pytest.mark.parametrize("name, rule", [
+    ("ml_gbt", dict(leaves=None, depth=6, min_rows=1, min_weight=200.0, ridge=1.0)),
+    ("ml_gbt_leaf", dict(leaves=63, depth=None, min_rows=200, min_weight=1e-3, ridge=0.0))])
+def test_boosting_queries_have_all_rounds(spark, monkeypatch, name, rule):
+    seen = _settings(monkeypatch, evaluation, "fit_boosted", lambda: QUERIES[name](spark, SF))
+    growth = boosting.PRESETS[seen["preset"]]
+    assert {k: getattr(growth, k) for k in rule} == rule
+    assert (growth.rounds, growth.rate, growth.row_share, growth.column_share) == (500, 0.05, 0.8, 0.8)
 
 
 def test_sensitivity_axes(spark, monkeypatch):
