@@ -223,23 +223,26 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS, **opti
                     [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i),
                      pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1])
                      .cast(pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
-    got = rows.mapInArrow(run, "doc_id long, quality int, x array<double>").toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+    got = (rows.mapInArrow(run, "doc_id long, quality int, x array<double>").distinct()
+           .orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(max_rows)
+           .orderBy("doc_id", "quality", "x").toArrow())
     x = np.array(got.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(FEATURES))
     return fit(x, (got.column("quality").to_numpy() == 1).astype(np.float64), **options)
 
 
-def score(docs: DataFrame, model: AdditiveModel, keep: list[str] | None = None) -> DataFrame:
-    """``docs``, or its columns ``keep``, with ``score`` (0 to 1) of every whole text and
-    ``predicted`` (score >= 0.5).
+def score(docs: DataFrame, model: AdditiveModel, keep: list[str] | None = None, out: str = "score",
+          verdict: str = "predicted") -> DataFrame:
+    """``docs``, or its columns ``keep``, with the score (0 to 1) of every whole text as ``out`` and
+    ``verdict`` (score >= 0.5).
 
-    Null and empty texts get the score of a text without words. Columns of ``docs`` named ``score``
-    or ``predicted`` are replaced.
+    Null and empty texts get the score of a text without words. A column of ``docs`` that is already
+    called so is an error; ``out`` and ``verdict`` may be given other names.
     """
-    base = docs.drop("score", "predicted")
-    names = keep or base.columns
-    at = base.columns.index("text")
-    places = [base.columns.index(n) for n in names]
+    names = keep or docs.columns
+    if {out.lower(), verdict.lower()} & {n.lower() for n in names}:
+        raise ValueError(f"'{out}' or '{verdict}' is a column already")
+    at = docs.columns.index("text")
+    places = [docs.columns.index(n) for n in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -249,10 +252,10 @@ def score(docs: DataFrame, model: AdditiveModel, keep: list[str] | None = None)
                 p = model.score(text_features(part.column(at), powers))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in places), pa.array(p), pa.array((p >= 0.5).astype(np.int32))],
-                    names=[*names, "score", "predicted"])
-    schema = T.StructType([*(base.schema[n] for n in names), T.StructField("score", T.DoubleType()),
-                           T.StructField("predicted", T.IntegerType())])
-    return base.mapInArrow(run, schema)
+                    names=[*names, out, verdict])
+    schema = T.StructType([*(docs.schema[n] for n in names), T.StructField(out, T.DoubleType()),
+                           T.StructField(verdict, T.IntegerType())])
+    return docs.mapInArrow(run, schema)
 
 
 def score_rows(docs: DataFrame, model: AdditiveModel) -> DataFrame:

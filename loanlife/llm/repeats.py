@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanlife.llm.words import RUN_POWERS, Powers, Words, fresh, mix, runs, slices, words
@@ -36,17 +36,6 @@ _PARSED = ("doc_id long, row long, n_words long, whole_sha256 string,"
            " phrases array<struct<anchor: long, phrase: long, first: int, n: int>>")
 
 
-def _row_keys(ids: pa.Array, w: Words) -> np.ndarray:
-    """A key of a row: its id and its words."""
-    up, _ = RUN_POWERS.upto(len(w.hashes) + 1)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(w.hashes * up[1:])])
-    begin, end = w.offsets[:-1], w.offsets[1:]
-    _, down = RUN_POWERS.upto(len(w.hashes) + 1)
-    text = mix((sums[end] - sums[begin]) * down[begin])
-    known = pa.compute.fill_null(ids, -(1 << 62)).to_numpy().astype(np.int64).view(np.uint64)
-    return mix(text ^ mix(known) ^ w.counts.astype(np.uint64))
-
-
 def _joined(w: Words, i: int, keep: np.ndarray | None = None) -> bytes:
     """Words of row ``i`` joined by one blank."""
     a, b = w.offsets[i], w.offsets[i + 1]
@@ -113,46 +102,48 @@ def parse(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
                      pa.array(first), pa.array(n)], names=["anchor", "phrase", "first", "n"])
                 ends = np.concatenate([[0], np.cumsum(each)]).astype(np.int32)
                 yield pa.record_batch(
-                    [ids, pa.array(_row_keys(ids, w).view(np.int64)), pa.array(w.counts),
+                    [ids, batch.column(2).slice(i, j - i), pa.array(w.counts),
                      pa.array([hashlib.sha256(_joined(w, k)).hexdigest() for k in range(j - i)]),
                      pa.ListArray.from_arrays(pa.array(ends), items)],
                     names=["doc_id", "row", "n_words", "whole_sha256", "phrases"])
     return _texts(docs).mapInArrow(run, _PARSED)
 
 
+def _row_key() -> Column:
+    """A key of a row by its id and text; rows equal in both share it, and lose the same words."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"),
+                       _row_key().alias("row"))
 
 
 def _with_text(docs: DataFrame, lists: DataFrame) -> DataFrame:
     """``(doc_id, text, row, items)`` for the rows named in ``lists(doc_id, row, items)``."""
     other = lists.select(F.col("doc_id").alias("own_id"), "row", "items").hint("shuffle_hash")
-    return (_texts(docs).join(other, F.col("doc_id").eqNullSafe(F.col("own_id")))
+    return (_texts(docs).join(other, "row").where(F.col("doc_id").eqNullSafe(F.col("own_id")))
             .select("doc_id", "text", "row", "items"))
 
 
 def _rows_with_words(batches: Iterator[pa.RecordBatch]):
-    """Slices with words and list items; rows whose text is not the one meant are marked."""
+    """Slices with their words."""
     powers = Powers()
     for batch in batches:
         for i, j in slices(batch.column(1)):
             part = batch.slice(i, j - i)
-            w = words(part.column(1), powers)
-            meant = _row_keys(part.column(0), w).view(np.int64) == part.column(2).to_numpy()
-            yield part, w, meant
+            yield part, words(part.column(1), powers)
 
 
 def boundary_windows(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     """``(doc_id, row, first, hash)`` of each window in the listed phrases ``items(first, n)``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, w, meant in _rows_with_words(batches):
+        for part, w in _rows_with_words(batches):
             items = part.column(3)
             begins, sizes = items.offsets.to_numpy(), np.diff(items.offsets.to_numpy())
             flat = items.values.slice(begins[0], begins[-1] - begins[0])
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            first, n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-            good = meant[owner]
-            owner, first, n = owner[good], first[good], n[good].astype(np.int64)
+            first, n = flat.field(0).to_numpy(), flat.field(1).to_numpy().astype(np.int64)
             owner = np.repeat(owner, n)
             step = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
             start = np.repeat(first.astype(np.int64), n) + step
@@ -180,8 +171,8 @@ def factors(docs: DataFrame, parsed: DataFrame, window: int = WINDOW) -> DataFra
     copies = marked.where("row = copy").join(border.select("anchor").distinct(), "anchor",
                                              "left_semi")
 
-    def listed(df):
-        return df.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "n")).alias("items"))
+    def listed(df):    # a set, as equal rows name the same places
+        return df.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "n")).alias("items"))
     todo = listed(border.select("doc_id", "row", "first", "n").union(
         copies.select("doc_id", "row", "first", "n")))
     single = materialize(boundary_windows(_with_text(docs, todo), window), "windows")
@@ -234,12 +225,10 @@ def _keep(items, count: int) -> np.ndarray:
 def kept_digests(texts: DataFrame) -> DataFrame:
     """``(row, kept_sha256)``: hash of the words outside the spans, joined by one blank."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, w, meant in _rows_with_words(batches):
-            rows = [(part.column(2)[i].as_py(),
-                     hashlib.sha256(_joined(w, i, _keep(part.column(3)[i], w.counts[i])))
-                     .hexdigest()) for i in np.flatnonzero(meant).tolist()]
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()),
-                                   pa.array([r[1] for r in rows], pa.string())],
+        for part, w in _rows_with_words(batches):
+            kept = [hashlib.sha256(_joined(w, i, _keep(part.column(3)[i], w.counts[i]))).hexdigest()
+                    for i in range(part.num_rows)]
+            yield pa.record_batch([part.column(2), pa.array(kept, pa.string())],
                                   names=["row", "kept_sha256"])
     return texts.mapInArrow(run, "row long, kept_sha256 string")
 
@@ -251,7 +240,8 @@ def repeat_report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A word is removed when a window of ``window``
     words of its text covers it whose words also start anywhere else, in the same text or another;
     all copies go. Null, empty and shorter texts lose nothing. Repeated rows are copies of each
-    other. Null ids are kept as such. Other columns are ignored.
+    other. Null ids are kept as such; many rows of one id or of none cost no more than others. Other
+    columns are ignored.
     """
     parsed = materialize(parse(docs, window, gram), "parsed")
     cut = materialize(spans(factors(docs, parsed, window), parsed, window), "spans")
@@ -278,28 +268,25 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> D
     parsed = materialize(parse(docs, window, gram), "parsed")
     cut = spans(factors(docs, parsed, window), parsed, window)
     names, schema = docs.columns, docs.schema
-    own_id, cuts_of = fresh("own_id", names), fresh("cuts", names)
-    hits = cut.select(F.col("doc_id").alias(own_id), F.struct("row", "spans").alias("c")).groupBy(
-        own_id).agg(F.collect_list("c").alias(cuts_of))
+    own, cuts_of = fresh("own_row", names), fresh("cuts", names)
+    hits = cut.select(F.col("row").alias(own), F.col("spans").alias(cuts_of))
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            ids = pa.compute.cast(batch.column(names.index("doc_id")), pa.int64())
-            column = batch.column(names.index("text"))
-            texts, cuts = column.to_pylist(), batch.column(len(names))
+            column, cuts = batch.column(at), batch.column(len(names))
+            texts = column.to_pylist()
             for i, j in slices(column):
                 w = words(column.slice(i, j - i), powers)
-                keys = _row_keys(ids.slice(i, j - i), w).view(np.int64)
                 for k in range(i, j):
-                    for own in cuts[k].as_py() or []:
-                        if own["row"] == keys[k - i]:
-                            texts[k] = _cut_text(w, k - i, own["spans"])
+                    if cuts[k].is_valid:
+                        texts[k] = _cut_text(w, k - i, cuts[k].as_py())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, column.type) if n == "text" else batch.column(c)
-                 for c, n in enumerate(names)], names=names)
-    return (docs.join(hits.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(
-        F.col(own_id)), "left").drop(own_id).mapInArrow(run, schema))
+                [pa.array(texts, column.type) if c == at else batch.column(c)
+                 for c in range(len(names))], names=names)
+    return (docs.withColumn(own, _row_key()).join(hits.hint("shuffle_hash"), own, "left").drop(own)
+            .mapInArrow(run, schema))
 
 
 def _cut_text(w: Words, i: int, found: list[dict]) -> str:

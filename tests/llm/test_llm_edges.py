@@ -83,6 +83,20 @@ def test_repeats(spark, edges, no_rows):
     assert repeats.remove_repeats(no_rows).collect() == []
 
 
+def test_repeats_of_many_rows_under_one_id(spark):
+    """Null and equal ids: every row is judged by its own text, copies lose the same words."""
+    shared = " ".join(f"s{i}" for i in range(40))
+    rows = [(None if k % 2 else 5, f"own{k} {shared} end{k}") for k in range(300)]
+    rows += [(None, "same " * 20 + shared)] * 50 + [(None, None)] * 20 + [(5, "few words")] * 20
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = repeats.repeat_report(frame).collect()
+    assert len(got) == len(rows)
+    assert sorted(r.n_removed for r in got) == [0] * 40 + [40] * 300 + [60] * 50
+    kept = repeats.remove_repeats(frame).collect()
+    assert sorted(str(r.text) for r in kept) == sorted(
+        [f"own{k} end{k}" for k in range(300)] + [""] * 50 + ["None"] * 20 + ["few words"] * 20)
+
+
 def test_repeats_against_brute_force(spark):
     rng = np.random.default_rng(5)
     passages = [[f"p{k}_{i}" for i in range(n)] for k, n in enumerate((34, 35, 36, 50, 80, 120))]
@@ -264,7 +278,9 @@ def test_quality(spark, edges, no_rows):
     assert len(rows) == edges.count() and all(0 <= r.score <= 1 for r in rows)
     assert {r.score for r in rows if r.doc_id in (2, 3)}.__len__() == 1
     assert all(not r.held_out for r in rows if r.doc_id is None)
-    scored = quality.score(edges, model)
+    with pytest.raises(ValueError):
+        quality.score(edges, model)     # has a column "score"
+    scored = quality.score(edges, model, out="chance", verdict="good")
     assert scored.columns.count("score") == 1 and scored.count() == edges.count()
     nothing = quality.train(edges, labels.where("false"))
     assert {r.score for r in quality.score_rows(edges, nothing).collect()} == {0.5}

@@ -100,4 +100,6 @@ def test_stages_on_edges_and_no_rows(spark, edges, no_rows, name):
     assert out.count() > 0
     if name != "encoding":
         assert out.columns == edges.columns
+        for r in out.collect():     # values of further columns survive, too
+            assert {r[c] for c in edges.columns if c not in ("doc_id", "text", "lang")} == {"x"}
     assert stage(spark, no_rows, SF).collect() == []
