@@ -7,7 +7,6 @@ near-duplicate stage; columns beyond those of ``documents`` pass through all fil
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +24,8 @@ TOKENIZER = "piece_bpe_32k.model"
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from the labels not held out, rejects go."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).where("predicted = 1").select(*docs.columns)
+    names = [fresh(base, docs.columns) for base in ("score", "predicted")]
+    return score(docs, model, None, *names).where(F.col(names[1]) == 1).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,6 +58,7 @@ def contamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document left."""
+    import public_tokenizers
     return encoding_digests(docs, read_model(public_tokenizers.path(TOKENIZER)))
 
 
