@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from loanlife.operators import coxscore as X
 from loanlife.operators.cox import CoxModel, cox_fit, cox_univariate, tie_sums
 from loanlife.operators.cox import Design
+from loanlife.operators import resident
+from loanlife.operators.resident import ResidentRows
 from loanlife.operators.neural import MlpWeights, Trainer, mlp_cox_fit, mlp_log_risk, row_key
 
 
@@ -166,13 +168,14 @@ def test_cox_loss_matches_direct(spark):
 
 
 @pytest.mark.parametrize("batch_norm,dropout", [(False, 0.0), (True, 0.25)])
-def test_neural_gradient_is_the_slope(spark, batch_norm, dropout):
+def test_neural_gradient_is_the_slope(spark, monkeypatch, batch_norm, dropout):
     x, t, e = sample(120)
     df, names = frame(spark, x, t, e)
     design = Design(df, "event_time_months", "prepay_observed",
                     [*[F.col(n) for n in names], row_key("loan_seq_num")])
     w = MlpWeights.init(3, (4, 3), "gelu", dropout, batch_norm, seed=3)
-    trainer = Trainer(design, w, "efron")
+    rows = ResidentRows(design.rows, design.p)
+    trainer = Trainer(rows, 3, w, "efron")
     _, grads, _, _ = trainer.gradient(1)
     for name, at in (("W0", (1, 2)), ("W1", (0, 1)), ("Wout", (2, 0)), ("b1", (1,))):
         keep, h = w.arrays[name][at], 1e-4
@@ -183,6 +186,16 @@ def test_neural_gradient_is_the_slope(spark, batch_norm, dropout):
         w.arrays[name][at] = keep
         slope = (losses[0] - losses[1]) / (2 * h)
         assert abs(grads[name][at] - slope) < 2e-5 + 1e-3 * abs(slope)
+    loss = trainer.gradient(1)[0]
+    rows.close()
+    monkeypatch.setattr(resident, "LEAST_ROWS", 7)      # the same over several partitions
+    monkeypatch.setattr(resident, "PARTITION_ROWS", 3)
+    monkeypatch.setattr(resident, "DIRECT", 4)
+    many = ResidentRows(design.rows, design.p)
+    assert many.parts == 40
+    other = Trainer(many, 3, w, "efron").gradient(1)
+    assert abs(other[0] - loss) < 1e-12
+    many.close()
     design.close()
 
 
