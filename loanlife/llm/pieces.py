@@ -14,6 +14,7 @@ import hashlib
 import heapq
 import re
 import struct
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -378,14 +379,26 @@ class Merger:
 
 
 class Encoder:
-    """Encodes and decodes texts with one model; cuts seen before are looked up."""
+    """Encodes and decodes texts with one model; cuts seen before are looked up.
+
+    Of every cut its ids are kept, with the source bytes each piece stands for, in arrays that all cuts
+    share. A slice of rows is then encoded by gathering: ids, and spans as running sums of the bytes.
+    """
 
     def __init__(self, data: bytes):
         self.model = Model(data)
         self.merger = Merger(self.model)
-        self.known: dict[str, str] = {}   # cut -> its ids as text
-        self.odd: dict[str, bytes] = {}   # cuts that decode to something else than themselves
         self.names = [str(i) for i in range(len(self.model.pieces))]
+        self.sizes = np.array([len(p.encode()) - 2 * p.count(MARK) for p in self.model.pieces])
+        shown = [self.model.decode_bytes([i]) for i in range(len(self.model.pieces))]
+        self.shown = np.frombuffer(b"".join(shown), dtype=np.uint8)
+        self.shown_ends = np.cumsum([0, *map(len, shown)])
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots: dict[str, int] = {}
+        self.ends = np.zeros(1, dtype=np.int64)       # of each cut in the next two
+        self.ids, self.bytes = np.zeros((2, 0), dtype=np.int32)
 
     def normal(self, text: str) -> str:
         """The normalised text with word marks."""
@@ -395,57 +408,98 @@ class Encoder:
         chars = text.replace(" ", MARK)
         return MARK + chars if chars and normal.dummy_prefix else chars
 
+    def _alone(self, cut: str) -> tuple[list[int], list[int]]:
+        """Ids of one cut and the source bytes of each; bytes of a character count for its last."""
+        ids, sizes = [], []
+        for piece in self.model.merge(cut):
+            known, size = self.model.ids.get(piece), len(piece.encode()) - 2 * piece.count(MARK)
+            if known is None and self.model.byte_fallback:
+                raw = piece.encode()
+                ids += [self.model.bytes[b] for b in raw]
+                sizes += [0] * (len(raw) - 1) + [size]
+            else:
+                ids.append(self.model.unknown if known is None else known)
+                sizes.append(size)
+        return ids, sizes
+
     def learn(self, cuts: set[str]) -> None:
         """Encode cuts not yet known."""
-        if len(self.known) + len(cuts) > CACHED:
-            self.known.clear()
-            self.odd.clear()
-        new = [c for c in cuts if c not in self.known]
+        if len(self.slots) + len(cuts) > CACHED:
+            self._forget()
+        new = [c for c in cuts if c not in self.slots]
         short = [c for c in new if len(c) <= 48]
-        found = {c: self.model.encode_cut(c) for c in new if len(c) > 48}
+        single = [c for c in new if len(c) > 48]
+        ids, sizes, counts, named = [], [], [], []
         if short:
-            symbols, counts, points = self.merger.merge(short)
-            ids, names = symbols.tolist(), self.names
-            limit, ends = len(names), np.cumsum(counts).tolist()
-            strange = np.flatnonzero(symbols >= limit)
-            alone = set(np.searchsorted(ends, strange, side="right").tolist())
-            begin = 0
-            for i, (c, end) in enumerate(zip(short, ends)):
-                if i in alone:  # characters outside the vocabulary
-                    found[c] = self.model.encode_cut(c)
-                else:
-                    self._store(c, ids[begin:end])
-                begin = end
-        for c, got in found.items():
-            self._store(c, got)
-
-    def _store(self, cut: str, ids: list[int]) -> None:
-        pieces = self.model.pieces
-        self.known[cut] = ",".join([self.names[i] for i in ids])
-        if "".join([pieces[i] for i in ids]) != cut:
-            data = self.model.decode_bytes(ids)
-            if data != cut.replace(MARK, " ").encode():
-                self.odd[cut] = data
-
-    def id_texts(self, texts: list[str]) -> Iterator[tuple[str, str]]:
-        """The ids of each text, joined by commas, and the text decoded from them."""
-        normal = [self.normal(t) for t in texts]
-        cuts = [self.model.cuts.findall(n) for n in normal]
+            symbols, count, _ = self.merger.merge(short)
+            owner = np.repeat(np.arange(len(short)), count)
+            good = np.ones(len(short), dtype=bool)
+            good[owner[symbols >= len(self.names)]] = False    # characters outside the vocabulary
+            kept = symbols[good[owner]]
+            ids.append(kept)
+            sizes.append(self.sizes[kept])
+            counts.append(count[good])
+            named = [c for c, ok in zip(short, good.tolist()) if ok]
+            single += [c for c, ok in zip(short, good.tolist()) if not ok]
+        for c in single:
+            own, own_sizes = self._alone(c)
+            ids.append(own)
+            sizes.append(own_sizes)
+            counts.append([len(own)])
+        for c in (*named, *single):
+            self.slots[c] = len(self.slots)
+        if counts:
+            self.ids = np.concatenate([self.ids, *ids]).astype(np.int32)
+            self.bytes = np.concatenate([self.bytes, *sizes]).astype(np.int32)
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(counts))])
+
+    def encode_rows(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids of each text, with first and end source byte of each piece (see ``encode_spans``)."""
+        plain = self.model.normaliser.plain
+        # A word mark of the source's own is three bytes long, a blank's one: told apart one by one.
+        easy = [plain and MARK not in t for t in texts]
+        cuts = [self.model.cuts.findall(self.normal(t)) if ok else []
+                for t, ok in zip(texts, easy)]
         self.learn(set().union(*cuts))
-        dummy = self.model.normaliser.dummy_prefix
-        for chars, own in zip(normal, cuts):
-            ids = ",".join(map(self.known.__getitem__, own))
-            if self.odd and any(c in self.odd for c in own):
-                data = b"".join(self.odd.get(c) or c.replace(MARK, " ").encode() for c in own)
-            else:
-                data = chars.replace(MARK, " ").encode()
-            if dummy and data[:1] == b" ":
-                data = data[1:]
-            yield ids, data.decode("utf-8", "replace")
+        each = np.fromiter(map(len, cuts), dtype=np.int64, count=len(cuts))
+        slot = np.fromiter((self.slots[c] for own in cuts for c in own), dtype=np.int64,
+                           count=int(each.sum()))
+        begin, end = self.ends[slot], self.ends[slot + 1]
+        n = end - begin
+        past = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(begin - past[:-1], n) + np.arange(past[-1])
+        ids, upto = self.ids[at], np.cumsum(self.bytes[at], dtype=np.int64)
+        row_ends = past[np.concatenate([[0], np.cumsum(each)])]
+        extra = int(self.model.normaliser.dummy_prefix)      # the blank put first has no byte
+        out = []
+        for i, ok in enumerate(easy):
+            a, b = row_ends[i], row_ends[i + 1]
+            if not ok:
+                out.append(tuple(np.array(v, dtype=np.int64) for v in self.encode_spans(texts[i])))
+                continue
+            last = upto[a:b] - (upto[a - 1] if a else 0) - extra
+            first = np.concatenate([[0], last[:-1]])[:b - a]
+            out.append((ids[a:b], np.maximum(first, 0), np.maximum(last, 0)))
+        return out
+
+    def decode_rows(self, rows: list[np.ndarray]) -> list[bytes]:
+        """UTF-8 of the text each row of ids decodes to."""
+        ids = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
+        begin = self.shown_ends[ids]
+        n = self.shown_ends[ids + 1] - begin
+        past = np.concatenate([[0], np.cumsum(n)])
+        data = self.shown[np.repeat(begin - past[:-1], n) + np.arange(past[-1])].tobytes()
+        ends = past[np.cumsum([0, *map(len, rows)])].tolist()
+        out = []
+        for a, b in zip(ends, ends[1:]):
+            if self.model.normaliser.dummy_prefix and data[a:a + 1] == b" " and a < b:
+                a += 1
+            own = data[a:b]
+            out.append(own if own.isascii() else own.decode("utf-8", "replace").encode())
+        return out
 
     def encode(self, text: str) -> list[int]:
-        ids = next(self.id_texts([text]))[0]
-        return [int(i) for i in ids.split(",")] if ids else []
+        return self.encode_rows([text])[0][0].tolist()
 
     def encode_spans(self, text: str) -> tuple[list[int], list[int], list[int]]:
         """Ids with first and end source byte of each piece.
@@ -471,11 +525,15 @@ class Encoder:
                     last.append(b)
         return ids, first, last
 
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Number of ids, hash of the ids and hash of the text decoded from them."""
-        return [(ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(),
-                 hashlib.sha256(text.encode()).hexdigest())
-                for ids, text in self.id_texts(texts)]
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str, int]]:
+        """Number of ids, hash of the ids, hash of the text decoded from them, CRC of the spans."""
+        rows = self.encode_rows(texts)
+        name = self.names.__getitem__
+        return [(len(ids), hashlib.sha256(",".join(map(name, ids.tolist())).encode()).hexdigest(),
+                 hashlib.sha256(data).hexdigest(),
+                 zlib.crc32(np.stack([first, last], axis=1).astype("<i8").tobytes()))
+                for (ids, first, last), data in
+                zip(rows, self.decode_rows([ids for ids, _, _ in rows]))]
 
 
 @lru_cache(maxsize=2)
@@ -497,9 +555,9 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)
         for batch in batches:
-            for i in range(0, batch.num_rows, 64):
-                part = batch.slice(i, 64)
-                rows = [enc.encode_spans(t or "") for t in part.column(1).to_pylist()]
+            for i, j in slices(batch.column(1)):
+                part = batch.slice(i, j - i)
+                rows = enc.encode_rows([t or "" for t in part.column(1).to_pylist()])
                 yield pa.record_batch(
                     [part.column(0), *(pa.array([r[k] for r in rows], pa.list_(pa.int32()))
                                        for k in range(3))],
@@ -511,20 +569,24 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     """``(doc_id, text)`` of ``encoded(doc_id, ids)``; null ids give an empty text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = encoder(model).model
+        made = encoder(model)
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
                 yield pa.record_batch(
-                    [part.column(0), pa.array([made.decode(x or [])
-                                               for x in part.column(1).to_pylist()], pa.string())],
+                    [part.column(0), pa.array([data.decode() for data in made.decode_rows(
+                        [np.array(x or [], dtype=np.int64) for x in part.column(1).to_pylist()])],
+                        pa.string())],
                     names=["doc_id", "text"])
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def encoding_digests(docs: DataFrame, model: bytes) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: ``doc_id, n_tokens, ids_sha256,
-    decoded_sha256`` of the text encoded and decoded again.
+    decoded_sha256, spans_crc32`` of the text encoded and decoded again.
+
+    ``spans_crc32`` is the CRC of first and end source byte of every piece, as little-endian 64-bit
+    numbers.
 
     Null and empty texts have no ids; repeated rows and null ids give rows like any other. Other
     columns are ignored.
@@ -537,7 +599,8 @@ def encoding_digests(docs: DataFrame, model: bytes) -> DataFrame:
                 yield pa.record_batch(
                     [batch.column(0).slice(i, j - i), pa.array([r[0] for r in rows], pa.int64()),
                      pa.array([r[1] for r in rows], pa.string()),
-                     pa.array([r[2] for r in rows], pa.string())],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                     pa.array([r[2] for r in rows], pa.string()),
+                     pa.array([r[3] for r in rows], pa.int64())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"])
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_crc32 long")

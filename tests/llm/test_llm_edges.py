@@ -200,11 +200,13 @@ def test_pieces_of_odd_texts(model):
     rng = np.random.default_rng(1)
     parts = ["a", "b", "the", " ", "  ", "▁", "\n", "é", "日", "𠮷", "%", "1", "ing", "\t", "<unk>", "�",
              "x" * 60, "\u0000"]
-    for _ in range(800):
-        text = "".join(rng.choice(parts, rng.integers(0, 30)))
+    texts = ["".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(800)]
+    rows = own.encode_rows(texts)
+    for text, (got, first, last), data in zip(texts, rows, own.decode_rows([r[0] for r in rows])):
         ids = lib.encode(text)
-        assert own.encode(text) == ids == own.encode_spans(text)[0]
-        assert own.model.decode(ids) == lib.decode(ids)
+        assert got.tolist() == ids
+        assert (first.tolist(), last.tolist()) == own.encode_spans(text)[1:]
+        assert own.model.decode(ids) == lib.decode(ids) == data.decode()
 
 
 def test_character_map_and_offsets():

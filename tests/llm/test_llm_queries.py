@@ -3,6 +3,7 @@
 import hashlib
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -39,6 +40,8 @@ def test_pieces_match_the_library(spark, texts):
         assert got[i].n_tokens == len(ids)
         assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+        spans = [(p.begin, p.end) for p in lib.encode(text, return_type="proto").pieces]
+        assert got[i].spans_crc32 == zlib.crc32(np.array(spans, "<i8").reshape(-1, 2).tobytes())
 
 
 def test_wordpieces_match_direct_search(spark, texts):

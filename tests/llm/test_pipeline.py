@@ -32,7 +32,7 @@ def run(spark):
 
 def test_columns(run):
     assert all(d.schema.simpleString() == run[0].schema.simpleString() for d in run[:-1])
-    assert run[-1].columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert run[-1].columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_crc32"]
 
 
 def test_quality_stage(spark, run):
