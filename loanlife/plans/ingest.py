@@ -318,9 +318,12 @@ PK_SQL = f"""WITH pv AS ({PANEL_V}) SELECT 'pk_nulls' AS "check", vintage_year,
   count(*) FILTER (WHERE loan_seq_num IS NULL OR month IS NULL) = 0 AS ok,
   concat('0/', count(*) FILTER (WHERE loan_seq_num IS NULL), '/',
          count(*) FILTER (WHERE month IS NULL)) AS detail FROM pv GROUP BY 2, 3"""
+# The stored table lacks rows of first quarters, as after a write that was cut short.
+STORED = "NOT (vintage_quarter = 1 AND loan_seq_num LIKE '%7')"
 RECOUNT_SQL = f"""WITH t AS (SELECT {ORIG_SQL}, {VINTAGE_SQL} FROM fx_raw_origination)
 SELECT 'recount' AS "check", vintage_year, CAST(vintage_quarter AS INT) AS vintage_quarter,
-  true AS ok, concat(count(*), '/', count(*)) AS detail
+  count(*) FILTER (WHERE {STORED}) = count(*) AS ok,
+  concat(count(*) FILTER (WHERE {STORED}), '/', count(*)) AS detail
 FROM t WHERE term_months = 360 AND amort_type = 'FRM' GROUP BY 2, 3"""
 
 
@@ -343,7 +346,7 @@ def _recount(d: Data) -> DataFrame:
     kept = C.keep_30y_fixed(typed_origination(d)).withColumn(
         "vintage_quarter", F.col("vintage_quarter").cast("int"))
     path = scratch_path(d.spark, "recount")
-    write_table(kept, path, ["vintage_year", "vintage_quarter"])
+    write_table(kept.where(STORED), path, ["vintage_year", "vintage_quarter"])
     return V.check_recount(kept, d.spark.read.parquet(path))
 
 

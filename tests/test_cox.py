@@ -124,7 +124,7 @@ def test_no_events_and_bad_options(spark):
     with pytest.raises(ValueError):
         X.cox_loss(df.withColumn("eta", F.lit(0.0)), "eta")
     with pytest.raises(ValueError):
-        cox_fit(df, names, l1_ratio=0.5)
+        cox_fit(df, names, l1_ratio=1.5)
 
 
 def test_collinear_columns_and_constant(spark):
@@ -167,6 +167,23 @@ def test_cox_loss_matches_direct(spark):
         assert abs(X.cox_loss(df, "eta", ties=ties) - want) < 1e-9
 
 
+@pytest.mark.parametrize("l1_ratio", [0.3, 1.0])
+def test_lasso_meets_the_optimality_conditions(spark, l1_ratio):
+    """Slopes of the plain likelihood at the optimum; weak features end at exactly zero."""
+    x, t, e = sample(240, 5)
+    df, names = frame(spark, x, t, e)
+    model = cox_fit(df, names, penalizer=0.1, l1_ratio=l1_ratio)
+    sd = x.std(axis=0, ddof=1)
+    z, beta, n = (x - x.mean(axis=0)) / sd, model.beta * sd, len(x)
+    ridge, lasso, h = n * 0.1 * (1 - l1_ratio), n * 0.1 * l1_ratio, 1e-5
+    slope = np.array([(direct_loglik(z, t, e, beta + h * u) - direct_loglik(z, t, e, beta - h * u))
+                      / (2 * h) for u in np.eye(5)]) - ridge * beta
+    zero = model.beta == 0
+    assert zero.any() and not zero.all() and model.converged
+    assert np.allclose(slope[~zero], lasso * np.sign(beta[~zero]), atol=1e-3)
+    assert (np.abs(slope[zero]) <= lasso + 1e-3).all()
+
+
 @pytest.mark.parametrize("batch_norm,dropout", [(False, 0.0), (True, 0.25)])
 def test_neural_gradient_is_the_slope(spark, monkeypatch, batch_norm, dropout):
     x, t, e = sample(120)
