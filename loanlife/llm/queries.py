@@ -206,7 +206,7 @@ k AS (SELECT id, conv_id, turn, 0 AS i, own AS t FROM o UNION ALL
 f AS (SELECT conv_id, turn, i, trim(regexp_replace(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[\t\n\x0B\f\r ]+', ' ', 'g')) AS t FROM k),
 x AS (SELECT conv_id, t, min(turn) AS to_turn FROM f WHERE t <> '' GROUP BY 1, 2),
-y AS (SELECT t, arg_min(conv_id, (conv_id, turn)) AS to_conv FROM f WHERE t <> '' AND i = 0 GROUP BY 1),
+y AS (SELECT t, arg_min(conv_id, (conv_id, turn)) AS to_conv, max(conv_id) AS last_conv FROM f WHERE t <> '' AND i = 0 GROUP BY 1),
 q AS (SELECT id, conv_id, turn, level, i, trim(regexp_replace(translate(body,
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\t\n\x0B\f\r ]+', ' ', 'g')) AS t,
     string_split(body, chr(10)) AS ls FROM p WHERE level > 0),
@@ -217,7 +217,7 @@ w AS (SELECT id, conv_id, turn, level, i, 0 AS place, t FROM q UNION ALL
 near AS (SELECT id, i, arg_min(to_turn, place) AS to_turn FROM w JOIN x USING (conv_id, t)
   WHERE w.t <> '' AND to_turn < turn GROUP BY 1, 2),
 links AS (SELECT q.id, q.conv_id, q.turn, q.level, near.to_turn,
-    near.to_turn IS NOT NULL OR y.to_conv <> q.conv_id AS linked
+    near.to_turn IS NOT NULL OR y.to_conv <> q.conv_id OR y.last_conv <> q.conv_id AS linked
   FROM q LEFT JOIN near USING (id, i) LEFT JOIN y ON y.t = q.t WHERE q.t <> ''),
 par AS (SELECT conv_id, turn, arg_max(to_turn, (-level, to_turn)) AS parent_turn FROM links
   WHERE to_turn IS NOT NULL GROUP BY 1, 2),

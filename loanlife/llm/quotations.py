@@ -5,7 +5,8 @@ lines of one level are a passage. Passages of level 0 are the message's own text
 introduces a quote (it ends in ``wrote:``). Quoted passages are normalised (A-Z lower-cased, white
 space collapsed), hashed, and joined to the first message of the conversation whose own text, or else
 one of whose own lines, has that hash; passages found in no earlier message of the conversation are
-looked for in all conversations, as whole texts. Joins meet one row per hash, so a passage quoted or
+looked for in all conversations, as whole texts: in the first one, or, where that is the quoting
+conversation itself, in the last one. Joins meet one row per hash, so a passage quoted or
 written very often is merged before, and split in, the shuffle.
 """
 
@@ -72,7 +73,8 @@ def quote_links(parsed: DataFrame) -> DataFrame:
     first = materialize(own.groupBy("conv_id", "key").agg(F.min("turn").alias("to_turn")), "own")
     everywhere = materialize(
         own.where("place = 0").where("conv_id is not null and turn is not null").groupBy("key").agg(
-            F.min(F.struct("conv_id", "turn")).alias("origin")), "origins")
+            F.min(F.struct("conv_id", "turn")).alias("origin"),
+            F.max(F.struct("conv_id", (-F.col("turn")).alias("turn"))).alias("last")), "origins")
     quotes = parsed.select("conv_id", "turn", "message", F.posexplode("passages").alias("ordinal", "p"))
     quotes = materialize(quotes.select(
         "conv_id", "turn", "message", "ordinal", F.col("p.level").alias("level"),
@@ -85,8 +87,10 @@ def quote_links(parsed: DataFrame) -> DataFrame:
     found = materialize(quotes.distinct().join(near, which, "left"), "found")
     far = (found.where("to_turn is null").withColumn("key", F.element_at("keys", 1))
            .join(everywhere, "key", "left")
-           .withColumn("origin", F.when((F.col("origin.conv_id") != F.col("conv_id")),
-                                        F.col("origin"))))
+           .withColumn("origin", F.coalesce(
+               F.when(F.col("origin.conv_id") != F.col("conv_id"), F.col("origin")),
+               F.when(F.col("last.conv_id") != F.col("conv_id"), F.struct(
+                   F.col("last.conv_id"), (-F.col("last.turn")).alias("turn"))))))
     return (found.where("to_turn is not null")
             .select(*which, "level", F.col("conv_id").alias("to_conv"), "to_turn")
             .union(far.select(*which, "level", F.col("origin.conv_id"), F.col("origin.turn"))))

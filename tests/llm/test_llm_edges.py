@@ -369,6 +369,18 @@ def test_quotations(spark):
     assert quotations.conversations(messages.limit(0)).collect() == []
 
 
+def test_quotation_of_another_conversation_when_the_first_origin_is_ones_own(spark):
+    rows = [(1, 1, "> shared words\nreply"), (1, 5, "shared words"), (2, 3, "shared words"),
+            (2, 0, "shared words"), (3, 0, "> shared words\nyes"), (4, 0, "> only later\nno"),
+            (4, 1, "only later")]
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    links = {(r.conv_id, r.turn, r.to_conv, r.to_turn)
+             for r in quotations.quote_links(quotations.parse(messages)).collect()}
+    assert links == {(1, 1, 2, 0), (3, 0, 1, 5), (4, 0, None, None)}
+    counts = {(r.conv_id, r.turn): r.n_linked for r in quotations.conversations(messages).collect()}
+    assert counts[1, 1] == counts[3, 0] == 1 and counts[4, 0] == 0
+
+
 def test_long_threads(spark):
     rows = [(1, i, f"message {i}" + (f"\n> message {i - 1}" if i else "")) for i in range(40)]
     got = quotations.conversations(spark.createDataFrame(rows, "conv_id long, turn long, text string"))
