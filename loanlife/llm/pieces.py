@@ -248,18 +248,6 @@ class Model:
                 offer(prv[i])
         return [p for p in parts if p is not None]
 
-    def encode_cut(self, text: str) -> list[int]:
-        out = []
-        for piece in self.merge(text):
-            known = self.ids.get(piece)
-            if known is not None:
-                out.append(known)
-            elif self.byte_fallback:
-                out += [self.bytes[b] for b in piece.encode()]
-            else:
-                out.append(self.unknown)
-        return out
-
     def decode_bytes(self, ids: list[int]) -> bytes:
         """Bytes of the pieces one after another, word marks as blanks."""
         parts = []
