@@ -6,17 +6,19 @@ ordering; windows only see those rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loanlife.columns import EVENT, TIME
 from loanlife.functions.cleaning import whole_number
 from loanlife.functions.tails import chi2_tail
+from loanlife.operators.cox import sum_arrays
 from loanlife.operators.ranks import running_sum, suffix_sum
-from loanlife.support import bounded_collect, keyed
+from loanlife.support import bounded_collect, keyed, materialize
 
 
 def _by_time(by: Sequence[str]):
@@ -126,12 +128,61 @@ def aalen_johansen(df: DataFrame, causes: Mapping[str, str], time: str = TIME,
     return table.where(F.col("t") <= max_t) if max_t is not None else table
 
 
-def logrank_cells(df: DataFrame, group: str, time: str = TIME, event: str = EVENT) -> DataFrame:
-    """Exits and events per (group, month); loans without group, duration or flag are left out."""
-    rows = df.where(F.col(time).isNotNull() & F.col(group).isNotNull() & F.col(event).isNotNull())
-    return rows.groupBy(F.col(group).cast("string").alias("grp"),
-                        whole_number(rows, time).alias("t")).agg(
-        F.count(F.lit(1)).alias("removed"), F.sum(F.col(event).cast("bigint")).alias("observed"))
+def _group_rows(df: DataFrame, groups: Mapping[str, Column], time: str, event: str) -> DataFrame:
+    """Exits and events per (name, group, month), in one scan for all groupings; loans without group,
+    duration or flag are left out."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), g.cast("string").alias("grp"))
+                                for n, g in groups.items()])).alias("p")
+    rows = df.where(F.col(time).isNotNull() & F.col(event).isNotNull())
+    long = rows.select(whole_number(rows, time).alias("t"), F.col(event).cast("bigint").alias("e"),
+                       pairs).where("p.grp is not null")
+    return long.groupBy("p.name", "p.grp", "t").agg(
+        F.count(F.lit(1)).alias("removed"), F.sum("e").alias("observed"))
+
+
+def _risk_vectors(cells: DataFrame) -> DataFrame:
+    """One row per (name, month with events): ``events`` of all groups and ``risk``, the loans at risk
+    of each group, in the order of the groups' names."""
+    own = cells.select("name", "grp").distinct()
+    months = cells.where("observed > 0").groupBy("name").agg(F.collect_set("t").alias("ts"))
+    asked = own.join(months, "name").select("name", "grp", F.explode("ts").alias("t"))
+    # A group's exits between two event months count at the earlier one's risk set and before.
+    every = cells.select("name", "grp", "t", "removed", "observed", F.lit(0).alias("asked")).unionByName(
+        asked.selectExpr("name", "grp", "t", "0L AS removed", "0L AS observed", "1 AS asked"))
+    merged = every.groupBy("name", "grp", "t").agg(
+        F.sum("removed").alias("removed"), F.sum("observed").alias("observed"),
+        F.max("asked").alias("asked"))
+    risk = merged.withColumn("risk", suffix_sum(F.col("removed"), "t", ["name", "grp"])).where("asked = 1")
+    ordered = F.array_sort(F.collect_list(F.struct("grp", "risk")))
+    return risk.groupBy("name", "t").agg(
+        F.sum("observed").alias("events"),
+        F.transform(ordered, lambda r: r["risk"].cast("double")).alias("risk"))
+
+
+def _outer_sums(names: Sequence[str]):
+    """Expected events (g numbers) and covariance (g x g) of a task's months, by grouping."""
+    number = {n: i for i, n in enumerate(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, list[np.ndarray]] = {}
+        for batch in batches:
+            name, events = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+            for i, (n, d) in enumerate(zip(name, events)):
+                risk = batch.column(2)[i].values.to_numpy()
+                at_risk = risk.sum()
+                share = risk / at_risk
+                scale = d * (at_risk - d) / (at_risk - 1) if at_risk > 1 else 0.0
+                spread = np.diag(scale * share) - scale * np.outer(share, share)
+                old = total.setdefault(number[n], [np.zeros(len(risk)), np.zeros(spread.shape)])
+                old[0] += d * share
+                old[1] += spread
+        if total:
+            rows = [np.concatenate([e, c.ravel()]) for e, c in total.values()]
+            ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(total), pa.int32()),
+                 pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows)))], ["k", "v"])
+    return run
 
 
 class LogrankResult:
@@ -151,31 +202,37 @@ class LogrankResult:
         self.p_value = chi2_tail(self.chi2, self.df) if self.df > 0 else 1.0
 
 
-def logrank(df: DataFrame, group: str, time: str = TIME, event: str = EVENT,
-            max_cells: int = 1_000_000) -> LogrankResult:
-    """Log-rank test over any number of groups.
+def logrank_tests(df: DataFrame, groups: Mapping[str, Column], time: str = TIME, event: str = EVENT,
+                  max_groups: int = 2_000) -> dict[str, LogrankResult]:
+    """A log-rank test for every grouping, all from one scan.
 
-    Spark reduces loans to one cell per (group, month); the driver gets those cells only.
+    Each (month, grouping) is a row with the loans at risk of every group; expected events and the
+    covariance are sums over these rows, added on the executors. The driver gets the groups' totals and
+    one matrix per grouping, which is what the test inverts; months and cells stay in Spark.
     """
-    return _logrank(bounded_collect(logrank_cells(df, group, time, event), max_cells,
-                                    "log-rank cells"))
-
-
-def _logrank(cells: list) -> LogrankResult:
-    groups = sorted({r["grp"] for r in cells})
-    times = sorted({r["t"] for r in cells})
-    gi, ti = {g: i for i, g in enumerate(groups)}, {t: i for i, t in enumerate(times)}
-    removed, d = np.zeros((len(times), len(groups))), np.zeros((len(times), len(groups)))
-    for r in cells:
-        removed[ti[r["t"]], gi[r["grp"]]] = r["removed"]
-        d[ti[r["t"]], gi[r["grp"]]] = r["observed"]
-    risk = removed[::-1].cumsum(axis=0)[::-1]
-    total, events = risk.sum(axis=1), d.sum(axis=1)
-    share = np.divide(risk, total[:, None], where=total[:, None] > 0, out=np.zeros_like(risk))
-    expected = (events[:, None] * share).sum(axis=0)
-    scale = np.where(total > 1, events * (total - events) / np.maximum(total - 1, 1), 0.0)
-    covariance = np.diag((scale[:, None] * share).sum(axis=0)) - (scale[:, None] * share).T @ share
-    return LogrankResult(groups, removed.sum(axis=0), d.sum(axis=0), expected, covariance)
+    names = list(groups)
+    cells = materialize(_group_rows(df, groups, time, event), "logrank-cells")
+    totals = bounded_collect(cells.groupBy("name", "grp").agg(
+        F.sum("removed").alias("n"), F.sum("observed").alias("o")), max_groups, "log-rank groups")
+    sums = _risk_vectors(cells).select("name", "events", "risk").mapInArrow(
+        _outer_sums(names), "k int, v array<double>")
+    keys, block = sum_arrays(sums, len(names))
+    found = dict(zip(keys.tolist(), block))
+    out = {}
+    for i, name in enumerate(names):
+        own = sorted((r for r in totals if r["name"] == name), key=lambda r: r["grp"].encode())
+        g = len(own)
+        v = found.get(i, np.zeros(g + g * g))
+        out[name] = LogrankResult([r["grp"] for r in own], np.array([float(r["n"]) for r in own]),
+                                  np.array([float(r["o"]) for r in own]), v[:g],
+                                  v[g:g + g * g].reshape(g, g))
+    return out
+
+
+def logrank(df: DataFrame, group: str, time: str = TIME, event: str = EVENT,
+            max_groups: int = 2_000) -> LogrankResult:
+    """Log-rank test over any number of groups and months."""
+    return logrank_tests(df, {"g": F.col(group)}, time, event, max_groups)["g"]
 
 
 def logrank_groups(df: DataFrame, group: str, time: str = TIME, event: str = EVENT) -> DataFrame:
@@ -187,20 +244,20 @@ def logrank_groups(df: DataFrame, group: str, time: str = TIME, event: str = EVE
 
 
 def rank_logrank(df: DataFrame, groups: Mapping[str, Column], time: str = TIME,
-                 event: str = EVENT, max_cells: int = 1_000_000) -> DataFrame:
-    """One log-rank test per covariate, strongest first; all cells come from one scan."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), g.cast("string").alias("grp"))
-                                for n, g in groups.items()])).alias("p")
-    rows = df.where(F.col(time).isNotNull() & F.col(event).isNotNull())
-    long = rows.select(whole_number(rows, time).alias("t"), F.col(event).cast("bigint").alias("e"),
-                       pairs).where("p.grp is not null")
-    cells = bounded_collect(long.groupBy("p.name", "p.grp", "t").agg(
-        F.count(F.lit(1)).alias("removed"), F.sum("e").alias("observed")), max_cells,
-        "log-rank cells")
-    out = []
-    for name in groups:
-        res = _logrank([c for c in cells if c["name"] == name])
-        out.append((name, len(res.groups), int(res.n.sum()), res.chi2, res.p_value))
+                 event: str = EVENT, max_groups: int = 2_000) -> DataFrame:
+    """One log-rank test per covariate, strongest first."""
+    out = [(name, len(res.groups), int(res.n.sum()), res.chi2, res.p_value)
+           for name, res in logrank_tests(df, groups, time, event, max_groups).items()]
     return df.sparkSession.createDataFrame(
         out, "covariate string, n_groups int, n_loans bigint, chi2 double, p_value double"
     ).orderBy(F.desc("chi2"))
+
+
+def logrank_covariance(df: DataFrame, groups: Mapping[str, Column], time: str = TIME,
+                       event: str = EVENT, max_groups: int = 2_000) -> DataFrame:
+    """Covariance of observed less expected events, a row per grouping and pair of groups."""
+    out = [(name, a, b, float(v)) for name, res in
+           logrank_tests(df, groups, time, event, max_groups).items()
+           for a, row in zip(res.groups, res.covariance) for b, v in zip(res.groups, row)]
+    return df.sparkSession.createDataFrame(
+        out, "covariate string, grp_a string, grp_b string, covariance double")

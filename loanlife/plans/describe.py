@@ -415,6 +415,21 @@ def logrank_two_groups(d: Data) -> DataFrame:
     return rounded(life.rank_logrank(prepay(d), {"rate_split": split}).drop("p_value"))
 
 
+def _covariance_sql(name: str, group: str) -> str:
+    return f"""SELECT '{name}' AS covariate, a.grp AS grp_a, c.grp AS grp_b, round(sum(CASE WHEN a.n > 1
+  THEN a.d * (a.n - a.d) / (a.n - 1) * (CASE WHEN a.grp = c.grp THEN a.n_g / a.n ELSE 0 END
+    - (a.n_g / a.n) * (c.n_g / c.n)) ELSE 0 END), 6) AS covariance
+FROM (WITH {logrank_sql(group)} SELECT * FROM lr) a JOIN (WITH {logrank_sql(group)} SELECT * FROM lr) c
+  ON a.t = c.t GROUP BY 2, 3"""
+
+
+@query("logrank_covariance", _covariance_sql("fico", cut_sql("fico", *K.BINS["fico"])) + " UNION ALL "
+       + _covariance_sql("channel", "channel"), SURV)
+def logrank_covariance(d: Data) -> DataFrame:
+    groups = {"fico": group_column("fico"), "channel": F.col("channel")}
+    return rounded(life.logrank_covariance(prepay(d), groups))
+
+
 @query("logrank_rank")
 def logrank_rank(d: Data) -> DataFrame:
     names = ["fico", "ltv", "dti", "orig_rate", "vintage", "loan_purpose", "channel"]

@@ -84,9 +84,25 @@ def test_logrank_brute_force(spark):
     assert np.allclose(res.expected, expected)
     z = (res.observed - expected)[:2]
     assert abs(res.chi2 - z @ np.linalg.solve(cov[:2, :2], z)) < 1e-9
+    assert np.allclose(res.covariance, cov)
     assert life.logrank(df.where("g = 'a'"), "g").p_value == 1.0
 
 
+def test_logrank_no_events_missing_groups_and_no_rows(spark):
+    df, _ = people(spark)
+    both = life.logrank_tests(df, {"g": F.col("g"), "none": F.lit(None).cast("string"),
+                                   "some": F.when(F.col("g") != "b", F.col("g"))})
+    assert both["none"].groups == [] and both["none"].p_value == 1.0
+    assert both["some"].groups == ["a", "c"]
+    alone = life.logrank(df.where("g <> 'b'"), "g")
+    assert np.isclose(both["some"].chi2, alone.chi2)
+    still = life.logrank(df.withColumn("prepay_observed", F.lit(0)), "g")
+    assert still.chi2 == 0 and not still.expected.any()
+    assert life.logrank(df.limit(0), "g").groups == []
+    with pytest.raises(ValueError):
+        life.logrank(df, "g", max_groups=2)
+
+
 @pytest.mark.parametrize("ties", ["censored_later", "skip"])
 def test_concordance_brute_force(spark, ties):
     df, rows = people(spark, 300)
