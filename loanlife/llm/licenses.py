@@ -26,6 +26,13 @@ SENTENCES = {
     "apache2_copy": ["You may obtain a copy of the License at"
                      " http://www.apache.org/licenses/LICENSE-2.0",
                      "You may obtain a copy of the License at"
+                     " https://www.apache.org/licenses/LICENSE-2.0",
+                     "You may obtain a copy of the License at"
+                     " https://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or"
+                     " agreed to in writing, software distributed under the License is distributed on"
+                     ' an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express'
+                     " or implied.",
+                     "You may obtain a copy of the License at"
                      " http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or"
                      " agreed to in writing, software distributed under the License is distributed on"
                      ' an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express'
@@ -80,6 +87,30 @@ SENTENCES = {
                  " terms of the GNU General Public License as published by the Free Software"
                  " Foundation, either version 3 of the License, or (at your option) any later"
                  " version."],
+    "gpl2_free": ["This program is free software; you can redistribute it and/or modify it under the"
+                  " terms of the GNU General Public License as published by the Free Software"
+                  " Foundation; either version 2 of the License, or (at your option) any later"
+                  " version."],
+    "gpl2_only": ["This program is free software; you can redistribute it and/or modify it under the"
+                  " terms of the GNU General Public License version 2 as published by the Free Software"
+                  " Foundation."],
+    "lgpl21_free": ["This library is free software; you can redistribute it and/or modify it under the"
+                    " terms of the GNU Lesser General Public License as published by the Free Software"
+                    " Foundation; either version 2.1 of the License, or (at your option) any later"
+                    " version."],
+    "lgpl3_free": [f"This {work} is free software: you can redistribute it and/or modify it under the"
+                   " terms of the GNU Lesser General Public License as published by the Free Software"
+                   " Foundation, either version 3 of the License, or (at your option) any later"
+                   " version." for work in ("program", "library")],
+    "agpl3_free": ["This program is free software: you can redistribute it and/or modify it under the"
+                   " terms of the GNU Affero General Public License as published by the Free Software"
+                   " Foundation, either version 3 of the License, or (at your option) any later"
+                   " version."],
+    "lgpl_hope": ["This library is distributed in the hope that it will be useful, but WITHOUT ANY"
+                  " WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A"
+                  " PARTICULAR PURPOSE."],
+    "lgpl_details": ["See the GNU Lesser General Public License for more details."],
+    "agpl_details": ["See the GNU Affero General Public License for more details."],
     "gpl_hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY"
                  " WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A"
                  " PARTICULAR PURPOSE."],
@@ -89,7 +120,18 @@ SENTENCES = {
     "mpl2_notice": ["This Source Code Form is subject to the terms of the Mozilla Public License,"
                     " v."],
     "mpl2_copy": ["If a copy of the MPL was not distributed with this file, You can obtain one at"
-                  " http://mozilla.org/MPL/2.0/."],
+                  " http://mozilla.org/MPL/2.0/.",
+                  "If a copy of the MPL was not distributed with this file, You can obtain one at"
+                  " https://mozilla.org/MPL/2.0/."],
+    "epl2_notice": ["This program and the accompanying materials are made available under the terms of"
+                    f" the Eclipse Public License 2.0 which is available at {scheme}://www.eclipse.org/"
+                    "legal/epl-2.0/" for scheme in ("http", "https")],
+    "cc0_ref": ["To the extent possible under law, the author(s) have dedicated all copyright and"
+                " related and neighboring rights to this software to the public domain worldwide."],
+    "unlicense_free": ["This is free and unencumbered software released into the public domain."],
+    "unlicense_anyone": ["Anyone is free to copy, modify, publish, use, compile, sell, or distribute"
+                         " this software, either in source code form or as a compiled binary, for any"
+                         " purpose, commercial or non-commercial, and by any means."],
     "cc_by_nc4_ref": ["Licensed under CC BY-NC 4.0."],
     "cc_by4_ref": ["Licensed under CC BY 4.0.",
                    "This work is licensed under a Creative Commons Attribution 4.0 International"
@@ -106,7 +148,23 @@ RULES = [
     ("BSD-2-Clause", ["bsd_grant_source", "bsd_binary"]),
     ("GPL-3.0-or-later", ["gpl_free", "gpl_hope", "gpl_details", "gpl_received"]),
     ("GPL-3.0-or-later", ["gpl_free", "gpl_hope", "gpl_details"]),
+    ("GPL-2.0-or-later", ["gpl2_free", "gpl_hope", "gpl_details"]),
+    ("GPL-2.0-or-later", ["gpl2_free"]),
+    ("GPL-2.0-only", ["gpl2_only", "gpl_hope", "gpl_details"]),
+    ("GPL-2.0-only", ["gpl2_only"]),
+    ("LGPL-2.1-or-later", ["lgpl21_free", "lgpl_hope", "lgpl_details"]),
+    ("LGPL-2.1-or-later", ["lgpl21_free"]),
+    ("LGPL-3.0-or-later", ["lgpl3_free", "gpl_hope", "lgpl_details"]),
+    ("LGPL-3.0-or-later", ["lgpl3_free", "lgpl_hope", "lgpl_details"]),
+    ("LGPL-3.0-or-later", ["lgpl3_free"]),
+    ("AGPL-3.0-or-later", ["agpl3_free", "gpl_hope", "agpl_details"]),
+    ("AGPL-3.0-or-later", ["agpl3_free"]),
+    ("GPL-3.0-or-later", ["gpl_free"]),
     ("MPL-2.0", ["mpl2_notice", "mpl2_copy"]),
+    ("EPL-2.0", ["epl2_notice"]),
+    ("CC0-1.0", ["cc0_ref"]),
+    ("Unlicense", ["unlicense_free", "unlicense_anyone"]),
+    ("Unlicense", ["unlicense_free"]),
     ("ISC", ["isc_grant"]),
     ("Apache-2.0", ["apache2_notice"]),
     ("MIT", ["mit_ref"]),
@@ -116,6 +174,14 @@ RULES = [
     ("CC-BY-4.0", ["cc_by4_ref"]),
 ]
 
+# Further licences known by their tag line.
+TAGS = ["0BSD", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0",
+        "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "EPL-2.0", "GPL-2.0-or-later",
+        "GPL-3.0-or-later", "ISC", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only",
+        "LGPL-3.0-or-later", "MPL-2.0", "Unlicense", "Zlib"]
+SENTENCES |= {f"tag_{tag}": [f"SPDX-License-Identifier: {tag}"] for tag in TAGS}
+RULES += [(tag, [f"tag_{tag}"]) for tag in TAGS]
+
 _OTHER = re.compile(r"[\W_]+")
 _WORD = re.compile(r"[\W_]*([^\W_]+)")
 _END = re.compile(r"(?<=[.!?])\s+")

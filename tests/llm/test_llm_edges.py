@@ -298,6 +298,48 @@ def test_additive_model_learns_an_interaction():
     assert (0, 1) in model.pairs and ((p > 0.5) == (y[3_000:] > 0.5)).mean() > 0.95
 
 
+NOTICES = {
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */""",
+    "Apache-2.0": """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     https://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+# See the License for the specific language governing permissions and
+# limitations under the License.""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "AGPL-3.0-or-later": "// SPDX-License-Identifier: AGPL-3.0-or-later\nint x;",
+    "BSD-3-Clause": "# SPDX-License-Identifier: BSD-3-Clause",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+}
+
+
+def test_licenses_of_common_notices(spark):
+    rows = [(i, f"Some words before.\n{text}\n\nAnd after.", name)
+            for i, (name, text) in enumerate(NOTICES.items())]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, license string")
+    got = sorted((r.doc_id, r.license) for r in licenses.find_licenses(docs).collect())
+    assert got == [(i, name) for i, name in enumerate(NOTICES)]
+
+
 def test_licenses(spark, no_rows):
     rows = [(1, "x\n * Permission is hereby granted, free of charge\n" * 2), (2, None), (3, ""),
             (4, "\n".join("# " + line for name in ("apache2_notice", "apache2_copy", "apache2_see")
