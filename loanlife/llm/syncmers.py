@@ -4,6 +4,9 @@ A k-mer of code points is chosen when the least hash of its s-mers is that of th
 one. The choice depends on the k-mer alone, so equal passages give equal anchors wherever they stand
 and whatever surrounds them. A fingerprint holds the least ``size`` distinct anchor hashes of a text,
 each as eight hexadecimal digits, ascending; texts shorter than k are their own only anchor.
+
+Two texts are matched by position, too: anchors that stand once in each give an offset, and the offset that
+most of them share tells by how much a common passage moved and how many anchors agree with that.
 """
 
 from __future__ import annotations
@@ -86,6 +89,33 @@ def fingerprint_likeness(a: str, b: str, size: int = SIZE) -> float:
     return likeness(x, y, size)
 
 
+def placed(at: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Anchors that stand once in a text, ascending: the high half of the hash, then the position."""
+    both = np.sort((hashes & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64))
+    again = (both[1:] >> np.uint64(32)) == (both[:-1] >> np.uint64(32))
+    once = np.ones(len(both), dtype=bool)
+    once[1:] &= ~again
+    once[:-1] &= ~again
+    return both[once]
+
+
+def aligned(a: np.ndarray, b: np.ndarray) -> tuple[int | None, int]:
+    """The commonest offset from a's to b's positions of common ``placed`` anchors, and how many have
+    it; of equally common ones the least. No common anchor: None and 0."""
+    if not len(a) or not len(b):
+        return None, 0
+    half, low = np.uint64(32), np.uint64(0xFFFFFFFF)
+    left = a >> half
+    at = np.minimum(np.searchsorted(left, b >> half), len(a) - 1)
+    same = left[at] == b >> half
+    if not same.any():
+        return None, 0
+    moves, n = np.unique((b[same] & low).astype(np.int64) - (a[at[same]] & low).astype(np.int64),
+                         return_counts=True)
+    best = int(np.argmax(n))
+    return int(moves[best]), int(n[best])
+
+
 def anchors(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
     """``(doc_id, position, anchor)`` of every chosen k-mer, for matching by position."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,10 +165,13 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S, size: int = SIZE,
     The next document is the one with the next lower id, after the lowest the highest; of rows that
     repeat an id, by their text. The edited text has its last floor(n_chars / 3) code points replaced
     by the first as many, or all, of the next document's. Columns: ``doc_id, n_chars,
-    edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``; the last two are the
-    likeness to the edited text's and to the next document's fingerprint. Null texts count as empty;
-    an empty text has an empty fingerprint, equal to other empty ones. A single document is its own
-    next. Other columns are ignored.
+    edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``, the last two the
+    likeness to the edited text's and to the next document's fingerprint; then ``n_placed``, the
+    anchors that stand once in the text, and ``edited_offset, edited_matched, next_offset,
+    next_matched``: the offset that most of them have in the edited text or the next document, and how
+    many have it (null and 0 where none is common). Null texts count as empty; an empty text has an empty
+    fingerprint, equal to other empty ones. A single document is its own next. Other columns are
+    ignored.
     """
     if ranges is None:  # several for each task, so that tasks get about equal shares
         ranges = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -146,7 +179,8 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S, size: int = SIZE,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-                 "near_edited", "near_next"]
+                 "near_edited", "near_next", "n_placed", "edited_offset", "edited_matched",
+                 "next_offset", "next_matched"]
         last, out, weight = None, [], 0
         for batch in batches:
             for i in range(batch.num_rows):
@@ -156,39 +190,44 @@ def fingerprints(docs: DataFrame, k: int = K, s: int = S, size: int = SIZE,
                 if extra and (last is None or last[0] != part or last[3]):
                     continue  # a further row of the same head
                 at, hashes = closed_syncmers(points, k, s)
-                own = _sketch(hashes, size)
+                own, once = _sketch(hashes, size), placed(at, hashes)
                 if last is not None and last[0] == part and not last[3]:
-                    out.append(_row(last, points, at, hashes, own))
+                    out.append(_row(last, points, own, once))
                     weight += len(points)
                     if len(out) >= 500 or weight > 1 << 22:
                         yield _batch(out, names)
                         out, weight = [], 0
-                last = (part, doc_id, points, extra, at, hashes, own)
+                last = (part, doc_id, points, extra, at, hashes, own, once)
         if out:
             yield _batch(out, names)
 
-    def _row(row, following, at, hashes, sketch):
-        _, doc_id, points, _, own_at, own_hashes, own = row
+    def _row(row, following, sketch, next_once):
+        _, doc_id, points, _, own_at, own_hashes, own, once = row
         n = len(points)
         keep = n - n // 3
         edited = np.concatenate([points[:keep], following[:n // 3]])
         if n // 3 and min(len(edited), n) >= k:
             # Only k-mers that reach the new part, or the old text, need to be looked at again.
-            tail = closed_syncmers(edited[max(keep - k + 1, 0):], k, s)[1] if len(edited) > keep \
-                else own_hashes[:0]
-            old = own_hashes[own_at <= keep - k]
-            edited_sketch = _sketch(np.concatenate([old, tail]), size)
+            begin = max(keep - k + 1, 0)
+            at, hashes = closed_syncmers(edited[begin:], k, s) if len(edited) > keep \
+                else (own_at[:0], own_hashes[:0])
+            old = own_at <= keep - k
+            at = np.concatenate([own_at[old], at + begin])
+            hashes = np.concatenate([own_hashes[old], hashes])
         else:
-            edited_sketch = _sketch(closed_syncmers(edited, k, s)[1], size)
+            at, hashes = closed_syncmers(edited, k, s)
+        edited_sketch = _sketch(hashes, size)
         text = edited.tobytes().decode("utf-32-le").encode()
         return (doc_id, n, hashlib.sha256(text).hexdigest(), _hex(own), _hex(edited_sketch),
-                likeness(own, edited_sketch, size), likeness(own, sketch, size))
+                likeness(own, edited_sketch, size), likeness(own, sketch, size), len(once),
+                *aligned(once, placed(at, hashes)), *aligned(once, next_once))
 
     def _batch(rows, names):
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(),
-                 pa.float64()]
+                 pa.float64(), *[pa.int64()] * 5]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds,
                                                                          strict=True)], names=names)
     return _neighbours(docs, ranges).select("range", "doc_id", "text", "extra").mapInArrow(
         run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string,"
-             " edited_fingerprint string, near_edited double, near_next double")
+             " edited_fingerprint string, near_edited double, near_next double, n_placed long,"
+             " edited_offset long, edited_matched long, next_offset long, next_matched long")

@@ -1,7 +1,9 @@
 """Registered queries against their SQL, or, where SQL cannot say it, against brute force."""
 
 import hashlib
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -73,6 +75,55 @@ def test_syncmers_match_direct_computation(spark, texts):
         assert r.near_next == syncmers.fingerprint_likeness(mark(text), mark(other))
 
 
+def plain_syncmers(text, k=syncmers.K, s=syncmers.S):
+    """(position, hash) by looking at every s-mer of every k-mer."""
+    points = syncmers._points(text)
+    gram = lambda i, n: int(syncmers._grams(points[i:i + n], n)[0])
+    if len(points) < k:
+        return [(0, gram(0, len(points)))] if len(points) else []
+    out = []
+    for i in range(len(points) - k + 1):
+        inner = [gram(j, s) for j in range(i, i + k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append((i, gram(i, k)))
+    return out
+
+
+def plain_alignment(a, b):
+    def once(found):
+        halves = [h >> 32 for _, h in found]
+        return {h >> 32: at for at, h in found if halves.count(h >> 32) == 1}
+    x, y = once(a), once(b)
+    moves = Counter(y[h] - x[h] for h in x.keys() & y.keys())
+    if not moves:
+        return len(x), None, 0
+    most = max(moves.values())
+    return len(x), min(m for m, n in moves.items() if n == most), most
+
+
+def test_syncmers_and_positions_match_plain_search(spark):
+    rng = random.Random(4)
+    texts = {i: "".join(rng.choice("abc é") for _ in range(rng.choice([0, 3, 7, 8, 9, 40, 160])))
+             for i in range(40)}
+    texts[40] = "shift " * 3 + texts[39] + " a passage that moved by some places"
+    texts[39] = texts[39] + " a passage that moved by some places"
+    docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()],
+                                 "doc_id int, text string, n_placed string")
+    got = {r.doc_id: r for r in syncmers.fingerprints(docs).collect()}
+    order = sorted(texts, reverse=True)
+    for i, after in zip(order, order[1:] + order[:1], strict=True):
+        text, other, r = texts[i], texts[after], got[i]
+        k = len(text) // 3
+        own, edited, following = map(plain_syncmers, (text, text[:len(text) - k] + other[:k], other))
+        at, hashes = syncmers.closed_syncmers(syncmers._points(text))
+        assert list(zip(at.tolist(), hashes.tolist())) == own
+        low = sorted({h >> 32 for _, h in own})[:syncmers.SIZE]
+        assert r.fingerprint == "".join(f"{h:08x}" for h in low)
+        assert (r.n_placed, r.edited_offset, r.edited_matched) == plain_alignment(own, edited)
+        assert (r.n_placed, r.next_offset, r.next_matched) == plain_alignment(own, following)
+    assert got[40].next_offset < 0 < got[40].next_matched
+
+
 def test_licenses_match_plain_search(spark, texts):
     lines = {"Licensed under the Apache License, Version 2.0.": "Apache-2.0",
              "Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
