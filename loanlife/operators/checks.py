@@ -68,6 +68,16 @@ def check_recount(expected: DataFrame, stored: DataFrame, keys: Sequence[str] =
     return both.select(*_verdict("recount", F.col("a") == F.col("b"), text, keys))
 
 
+def check_whole(stored: DataFrame, states: DataFrame, name: str, keys: Sequence[str] = PARTITION
+                ) -> DataFrame:
+    """Every partition found in a table must be noted as stored in ``states``."""
+    found = stored.select(*keys).distinct().withColumn("found", F.lit(True))
+    both = found.join(states, list(keys), "full")
+    ok = F.coalesce(F.col("stored"), F.lit(False))
+    text = F.concat_ws("/", F.lit(name), F.when(ok, "stored").otherwise("open"))
+    return both.select(*_verdict("whole", ok, text, keys))
+
+
 def validation_report(*checks: DataFrame) -> DataFrame:
     """All checks stacked: (check, partition, ok, detail)."""
     out = checks[0]

@@ -7,6 +7,7 @@ from loanlife import columns as K
 from loanlife.operators.checks import passed
 from loanlife.plans import convert as P
 from loanlife.plans.fixtures import view
+from loanlife.sources.manifest import adopt, partitions
 from loanlife.sources.sinks import existing_partitions, write_table
 
 SF = "/root/testdata/sf0.001"
@@ -77,6 +78,50 @@ def test_new_quarters_open_no_old_file(spark, tmp_path):
     assert "PartitionFilters: [" in plan and "vintage_year" in plan.split("PartitionFilters: [")[1]
 
 
+def test_half_written_and_empty_quarters(spark, tmp_path, monkeypatch):
+    for d in ("o", "m"):
+        (tmp_path / d).mkdir()
+    root, parts = str(tmp_path / "out"), halves("loan_seq_num")
+    src = (str(tmp_path / "o"), str(tmp_path / "m"))
+    write_quarters(spark, tmp_path / "o", "fx_raw_origination", K.ORIGINATION_RAW, "loans", parts)
+    write_quarters(spark, tmp_path / "m", "fx_raw_monthly", K.MONTHLY_RAW, "loans_time", parts)
+    # A third quarter whose loans all go in cleaning.
+    write_quarters(spark, tmp_path / "o", "fx_raw_origination", K.ORIGINATION_RAW, "loans",
+                   {"2006Q3": F.expr("term_months <> '360'")})
+    (tmp_path / "m" / "loans_time_2006Q3.txt").write_text("")
+
+    write = P.write_table
+
+    def dies(df, path, *rest):
+        if path.endswith("monthly"):
+            write(df.where("vintage_quarter = 1").limit(5), path, *rest)
+            raise RuntimeError("driver lost")
+        write(df, path, *rest)
+    monkeypatch.setattr(P, "write_table", dies)
+    with pytest.raises(RuntimeError):
+        P.convert(spark, *src, root)
+    monkeypatch.setattr(P, "write_table", write)
+    assert partitions(spark, f"{root}/origination", P.KEYS) == {(2006, 1), (2006, 2), (2006, 3)}
+    assert partitions(spark, f"{root}/monthly", P.KEYS) == set()
+    assert P.undone(spark, root)[0].count() == 0
+
+    again = P.convert(spark, *src, root)
+    assert again.orig_raw == 0 and again.monthly_kept > 5
+    assert spark.read.parquet(f"{root}/monthly").count() == again.monthly_kept
+    P.derive_outcomes(spark, root)
+    assert passed(P.validate(spark, root))
+    assert partitions(spark, f"{root}/outcomes", P.KEYS) == {(2006, 1), (2006, 2), (2006, 3)}
+    third = P.convert(spark, *src, root)
+    assert (third.orig_raw, third.monthly_raw) == (0, 0)
+
+    old = str(tmp_path / "old")
+    write_table(spark.read.parquet(f"{root}/origination"), old, P.KEYS)
+    assert partitions(spark, old, P.KEYS) == set()
+    adopt(spark, old, P.KEYS)
+    adopt(spark, str(tmp_path / "none"), P.KEYS)
+    assert partitions(spark, old, P.KEYS) == {(2006, 1), (2006, 2)}
+
+
 def test_a_name_without_quarter_and_a_damaged_table_are_errors(spark, tmp_path):
     (tmp_path / "o").mkdir()
     (tmp_path / "o" / "loans.txt").write_text("x\n")
