@@ -32,7 +32,7 @@ from loanlife.operators.cox import (CoxModel, _array_rows, _by_month, _newton, _
                                     tie_sums)
 from loanlife.operators.coxscore import step_at
 from loanlife.operators.ranks import bucket_edges, default_buckets, running_totals, with_bucket
-from loanlife.support import broadcast_if_small, materialize
+from loanlife.support import broadcast_if_small, discard, materialize
 
 BLOCK_VALUES = 1 << 21    # numbers in a block
 MAX_BLOCKS = 500_000
@@ -85,6 +85,7 @@ def continuous_loss(df: DataFrame, log_risk: str, time: str = TIME, event: str =
     sets = _risk_sets(df, log_risk, time, event).where("d > 0")
     like, events = sets.select("cum_w", "we", "eta", "d").mapInPandas(
         terms, "like double, events double").agg(F.sum("like"), F.sum("events")).first()
+    discard(sets)
     if not events:
         raise ValueError("the loss is per event, and there are no events")
     return -like / events
@@ -92,8 +93,10 @@ def continuous_loss(df: DataFrame, log_risk: str, time: str = TIME, event: str =
 
 def continuous_breslow(df: DataFrame, log_risk: str, time: str = TIME, event: str = EVENT) -> DataFrame:
     """Baseline hazard, cumulative hazard and survival at every duration with an event."""
-    steps = materialize(_risk_sets(df, log_risk, time, event).where("d > 0").select(
+    sets = _risk_sets(df, log_risk, time, event)
+    steps = materialize(sets.where("d > 0").select(
         (-F.col("t")).alias("back"), (F.col("d") / F.col("cum_w")).alias("h")), "baseline-steps")
+    discard(sets)
     return running_totals(steps, "back", ["h"]).select(
         (-F.col("back")).alias("time"), F.col("h").alias("baseline_hazard"),
         F.col("cum_h").alias("baseline_cumulative_hazard"),
@@ -217,10 +220,12 @@ class Blocks:
         if len(index) > MAX_BLOCKS:
             raise ValueError(f"more than {MAX_BLOCKS} blocks of rows")
         self.layout = _Layout.of(index)
+        self._stored = stored
         self.rows = stored.drop("t0", "t1").persist(StorageLevel.MEMORY_AND_DISK)
 
     def close(self) -> None:
         self.rows.unpersist()
+        discard(self._stored)
 
     def _each(self, work: Callable[..., np.ndarray], summed: bool) -> np.ndarray:
         """``work(i, t, e, n, x)`` of every block: a row each, or their sum."""
@@ -438,5 +443,7 @@ def cox_fit_continuous(df: DataFrame, features: Sequence[str] | Mapping[str, Col
         converged=converged, trend=(ranked * scale, first, second))
     scored = df.select(F.col(time).alias("t"), F.col(event).alias("e"),
                        model.log_risk(named).alias("eta"))
-    model.steps = materialize(continuous_breslow(scored, "eta", "t", "e"), "baseline")
+    steps = continuous_breslow(scored, "eta", "t", "e")
+    model.steps = materialize(steps, "baseline")
+    discard(steps)
     return model

@@ -18,7 +18,7 @@ from loanlife.functions.cleaning import whole_number
 from loanlife.functions.tails import chi2_tail
 from loanlife.operators.cox import sum_arrays
 from loanlife.operators.ranks import running_sum, suffix_sum
-from loanlife.support import bounded_collect, keyed, materialize
+from loanlife.support import bounded_collect, discard, keyed, materialize
 
 
 def _by_time(by: Sequence[str]):
@@ -217,6 +217,7 @@ def logrank_tests(df: DataFrame, groups: Mapping[str, Column], time: str = TIME,
     sums = _risk_vectors(cells).select("name", "events", "risk").mapInArrow(
         _outer_sums(names), "k int, v array<double>")
     keys, block = sum_arrays(sums, len(names))
+    discard(cells)
     found = dict(zip(keys.tolist(), block))
     out = {}
     for i, name in enumerate(names):

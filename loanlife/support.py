@@ -37,17 +37,49 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: dict[str, SparkSession] = {}    # scratch tables of this process, by path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table that several passes will read into the shared folder, and read it back.
 
     Later passes then scan only the columns they need, and lost executors cost a re-read of
-    files instead of the joins and aggregations above them.
+    files instead of the joins and aggregations above them. The table stays until ``discard`` or
+    ``clear_scratch``, since results are lazy and may read it later.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _WRITTEN[path] = df.sparkSession
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the scratch tables that ``df`` reads; for intermediate tables whose readers are done.
+
+    Only tables that this process wrote by ``materialize`` are deleted.
+    """
+    folders = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}    # their names are unique
+    for path, spark in list(_WRITTEN.items()):
+        if path.rsplit("/", 1)[-1] in folders:
+            _delete(spark, path)
+            del _WRITTEN[path]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete every scratch table this process wrote in the session's application, once all results
+    that read them have been used; returns their number."""
+    mine = [p for p, s in _WRITTEN.items() if s.sparkContext is spark.sparkContext]
+    for path in mine:
+        _delete(spark, path)
+        del _WRITTEN[path]
+    return len(mine)
+
+
 def small_table(df: DataFrame, max_rows: int = SMALL_ROWS) -> tuple[DataFrame, bool]:
     """Turn ``df`` into an in-memory relation when it has at most ``max_rows`` rows.
 
