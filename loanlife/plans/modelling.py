@@ -378,7 +378,8 @@ def cox_vs_logrank(d: Data) -> DataFrame:
 PAIR = ["orig_rate", "ltv"]
 
 
-def pair_sql(penalizer: float = 0.01, steps: int = 7) -> str:
+def pair_steps(penalizer: float = 0.01, steps: int = 7) -> str:
+    """CTE chain of Newton steps; ``b7`` holds the coefficients, ``r6`` and ``k6`` the last sums."""
     a, b = PAIR
     z = lambda c: (f"(CAST({c} AS DOUBLE) - (SELECT avg(CAST({c} AS DOUBLE)) FROM fx_cox)) / "
                    f"(SELECT stddev_samp(CAST({c} AS DOUBLE)) FROM fx_cox)")
@@ -406,15 +407,52 @@ def pair_sql(penalizer: float = 0.01, steps: int = 7) -> str:
             f"a22 + r AS i22 FROM z{i}, p, b{i})",
             f"b{i + 1} AS (SELECT b1 + (i22*u1 - i12*u2)/(i11*i22 - i12*i12) AS b1, "
             f"b2 + (i11*u2 - i12*u1)/(i11*i22 - i12*i12) AS b2, i11, i12, i22 FROM n{i})"]
+    return "WITH " + ", ".join(out)
+
+
+def pair_sql(penalizer: float = 0.01, steps: int = 7) -> str:
+    a, b = PAIR
     sd = lambda c: f"(SELECT stddev_samp(CAST({c} AS DOUBLE)) FROM fx_cox)"
     last = f"b{steps}"
-    return "WITH " + ", ".join(out) + (
+    return pair_steps(penalizer, steps) + (
         f" SELECT '{a}' AS feature, round(b1/{sd(a)}, 6) AS coef, round(exp(b1/{sd(a)}), 6) AS "
         f"hazard_ratio, round(sqrt(i22/(i11*i22 - i12*i12))/{sd(a)}, 6) AS se FROM {last} "
         f"UNION ALL SELECT '{b}', round(b2/{sd(b)}, 6), round(exp(b2/{sd(b)}), 6), "
         f"round(sqrt(i11/(i11*i22 - i12*i12))/{sd(b)}, 6) FROM {last}")
 
 
+# Scaled residuals against the mean rank of the event time; the scale of a feature cancels out.
+PAIR_PH_SQL = pair_steps() + f""", res AS (SELECT t, max(d) AS d,
+  max(ux) - sum((swx - q*ewx)/(sw - q*ew)) AS rx, max(uy) - sum((swy - q*ewy)/(sw - q*ew)) AS ry
+  FROM k6 GROUP BY t),
+rk AS (SELECT *, sum(d) OVER (ORDER BY t) - (d - 1) / 2 AS rank FROM res),
+m AS (SELECT sum(rank * d) / sum(d) AS mid, sum(d) AS n FROM rk),
+v AS (SELECT i22/(i11*i22 - i12*i12) AS v11, -i12/(i11*i22 - i12*i12) AS v12,
+  i11/(i11*i22 - i12*i12) AS v22 FROM b7),
+ph AS (SELECT sum((rank - mid) * n * (rx*v11 + ry*v12)) AS sx,
+  sum((rank - mid) * n * (rx*v12 + ry*v22)) AS sy, sum(d * (rank - mid)**2) AS spread, max(n) AS n
+  FROM rk, m, v)
+SELECT '{PAIR[0]}' AS feature, round(sx*sx / (n*v11*spread), 4) AS test_statistic FROM ph, v
+UNION ALL SELECT '{PAIR[1]}', round(sy*sy / (n*v22*spread), 4) FROM ph, v"""
+PAIR_BASE_SQL = pair_steps() + """ SELECT t AS time, round(d / sw, 6) AS baseline_hazard,
+round(sum(d / sw) OVER (ORDER BY t), 6) AS baseline_cumulative_hazard,
+round(exp(-sum(d / sw) OVER (ORDER BY t)), 6) AS baseline_survival FROM r6 WHERE d > 0"""
+
+
+def _ph_rows(d: Data, model: CoxModel) -> DataFrame:
+    return rounded(model.ph_test(d.spark).select("feature", "test_statistic"), 4)
+
+
+@query("schoenfeld_pair", PAIR_PH_SQL, COX)
+def schoenfeld_pair(d: Data) -> DataFrame:
+    return _ph_rows(d, cox_fit(cox_rows(d).select(K.TIME, K.EVENT, *PAIR), PAIR))
+
+
+@query("cox_baseline_pair", PAIR_BASE_SQL.replace("t AS time", "CAST(t AS INT) AS time"), COX)
+def cox_baseline_pair(d: Data) -> DataFrame:
+    return rounded(cox_fit(cox_rows(d).select(K.TIME, K.EVENT, *PAIR), PAIR).baseline(d.spark))
+
+
 @query("cox_fit_pair", pair_sql(), COX)
 def cox_fit_pair(d: Data) -> DataFrame:
     model = cox_fit(cox_rows(d).select(K.TIME, K.EVENT, *PAIR), PAIR)
@@ -438,6 +476,11 @@ def cox_fit_fractional(d: Data) -> DataFrame:
     return rounded(model.summary(d.spark).select("feature", "coef", "hazard_ratio", "se"))
 
 
+@query("schoenfeld_fractional", PAIR_PH_SQL.replace("event_time_months", FRACTION_SQL), COX)
+def schoenfeld_fractional(d: Data) -> DataFrame:
+    return _ph_rows(d, continuous.cox_fit_continuous(fractional_rows(d), PAIR, "exit", K.EVENT))
+
+
 @query("cox_loss_fractional", f"""WITH {FRACTION_BASE_SQL},
 l AS (SELECT t, sum(ln(s0 - k / d * we)) AS lg
   FROM (SELECT t, s0, we, d, unnest(range(CAST(d AS BIGINT))) AS k FROM r WHERE d > 0) GROUP BY 1)
