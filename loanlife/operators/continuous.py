@@ -111,28 +111,29 @@ def asof_lookup(df: DataFrame, steps: DataFrame, horizon: str, t: str = "time",
     Distinct horizons and steps are merged by time: inside a range bucket a window carries the last step
     on, and each bucket starts with the last step of the buckets before it. Rows find their value by an
     equality join on the horizon. Rows before the first step, and those with a NULL or NaN horizon, get
-    ``default``. Of several steps at one time the greatest value counts. ``df`` keeps its columns; ``out``
+    ``default``. Of several steps at one time the greatest value counts; those without a time or value take
+    no part. ``df`` keeps its columns; ``out``
     must not be one of them.
     """
     if out in df.columns:
         raise ValueError(f"the rows have a column {out!r} already")
     asked = _known(df.select(F.col(horizon).cast("double").alias("at")), "at").distinct()
     known = _known(steps.select(F.col(t).cast("double").alias("at"),
-                                F.col(value).cast("double").alias("v")), "at").groupBy("at").agg(
+                                F.col(value).cast("double").alias("v")), "at", "v").groupBy("at").agg(
         F.max("v").alias("v"))
     merged = materialize(
         asked.select("at", F.lit(None).cast("double").alias("v"), F.lit(True).alias("asked"))
         .unionByName(known.select("at", "v", F.lit(False).alias("asked"))), "asof")
     merged = with_bucket(merged, "at", bucket_edges(merged, "at", default_buckets(merged)), "b")
-    step = F.when(~F.col("asked"), F.struct("at", "v"))
-    ends = merged.groupBy("b").agg(F.max(step).alias("end"))     # a row per bucket, 4,096 at most
+    ends = merged.groupBy("b").agg(F.max_by("v", F.when(~F.col("asked"), F.col("at"))).alias("end"))
+    # A row per bucket, 4,096 at most.
     before = Window.partitionBy(F.lit(1)).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("b", F.last("end", ignorenulls=True).over(before).alias("carry"))
     inside = Window.partitionBy("b").orderBy("at", "asked").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    found = merged.withColumn("own", F.last(step, ignorenulls=True).over(inside)).where("asked")
+    found = merged.withColumn("own", F.last("v", ignorenulls=True).over(inside)).where("asked")
     found = found.join(F.broadcast(carried), "b").select(
-        F.col("at").alias("__at"), F.coalesce(F.col("own.v"), F.col("carry.v")).alias(out))
+        F.col("at").alias("__at"), F.coalesce("own", "carry").alias(out))
     return (df.withColumn("__at", F.col(horizon).cast("double"))
             .join(broadcast_if_small(found), "__at", "left")
             .withColumn(out, F.coalesce(F.col(out), F.lit(float(default)))).drop("__at"))
