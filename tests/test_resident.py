@@ -63,3 +63,31 @@ def test_first_layer_statistics_need_no_pass_of_their_own(spark, monkeypatch):
     finally:
         rows.close()
         design.close()
+
+
+def test_cox_passes_read_the_arrays_only(spark):
+    """Newton steps need the table once; a constant feature keeps its exact spread of zero."""
+    df = loans(spark).selectExpr("*", "0.1D AS flat")
+    design = Design(df, TIME, EVENT, [df["a"], df["flat"]])
+    try:
+        n, events, mean, sd = design.moments()
+        design.rows = None
+        sums = design.month_sums(lambda x: (x - mean, np.zeros(len(x))), 2)
+        want = df.toPandas()
+        assert (n, sd[1]) == (len(want), 0.0) and sums.d.sum() == events == want[EVENT].sum()
+        assert sums.s0.tolist() == [(want[TIME] >= m).sum() for m in sums.t]
+        sums.solve_ties(True)
+        assert design.gram(lambda x: (x - mean, np.zeros(len(x))), 2, sums).shape == (2, 2)
+    finally:
+        design.held.close()
+
+
+def test_compared_models_share_their_stored_loans(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from loanlife.plans import modelling
+    stored, real = [], modelling.materialize
+    monkeypatch.setattr(modelling, "materialize", lambda df, name: stored.append(name) or real(df, name))
+    monkeypatch.setattr(modelling, "compare_models", lambda spark, models: spark.range(1))
+    monkeypatch.setattr(modelling, "cox_fit", lambda *a, **k: None)
+    entry.queries()["model_comparison"](spark, "/root/testdata/sf0.001")
+    assert sorted(stored) == ["design", "design", "model-macro-rows"]
