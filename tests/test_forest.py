@@ -108,3 +108,41 @@ def test_small_and_odd_tables(spark):
                 data.withColumn("y", F.lit(2))):
         with pytest.raises(ValueError):
             classify.fit_forest(bad, "y", trees=2)
+
+
+def test_metrics_score_every_row_once(spark):
+    """The metrics read scores three times; the trees are walked once a row."""
+    from loanlife.plans.evaluation import _metrics
+    walked = spark.sparkContext.accumulator(0)
+
+    def chance(v):
+        walked.add(1)
+        return v / 12
+
+    rows = table(spark, 500)[0].select(F.lit("test").alias("split"), F.col("y").alias("label"),
+                                       F.udf(chance, "double")("a").alias("p"))
+    assert _metrics(rows, "m").first()["n"] == 500 and walked.value == 500
+
+
+def test_scaling_and_logistic_scores_are_generated_in_small_methods(spark):
+    """One long method is interpreted; the results are those of the plain expressions."""
+    from loanlife.operators.features import Preprocessor
+    names = [f"f{i}" for i in range(50)]
+    df = spark.range(200).select((F.col("id") % 2).cast("int").alias("label"), *(
+        F.when(F.col("id") % 97 != i, (F.col("id") * (i + 3) % 17).cast("double")).alias(n)
+        for i, n in enumerate(names))).localCheckpoint()
+    full = df.dropna()
+    prep = Preprocessor.fit(full, names, [], fill_gaps=False)
+    scaled = prep.transform(df, ["label"])
+    assert "transform(" in scaled._jdf.queryExecution().executedPlan().toString()
+    plain = df.select("label", *(e.alias(n) for n, e in prep.items()))
+    assert scaled.collect() == plain.collect()
+    model = classify.fit_logistic(classify.assemble(scaled.dropna(), names), "label", max_iter=10)
+    margin = F.lit(float(model.intercept))
+    for n, b in zip(names, model.coefficients.toArray()):
+        if b:
+            margin = margin + F.col(n) * F.lit(float(b))
+    want = plain.select((1 / (1 + F.exp(-margin))).alias("p")).collect()
+    scored = classify.score(model, scaled, names).select("p")
+    assert "aggregate(" in scored._jdf.queryExecution().executedPlan().toString()
+    assert scored.collect() == want and any(r.p is None for r in want)
