@@ -1,11 +1,12 @@
 """Rows kept in the executors: blocks, packing and what fits make of them."""
 
 import numpy as np
+import pytest
 
 from loanlife.columns import EVENT, ID, TIME
 from loanlife.operators import resident
 from loanlife.operators.cox import Design
-from loanlife.operators.neural import MlpWeights, Trainer, row_key
+from loanlife.operators.neural import MlpWeights, Trainer, month_sums, row_key
 from loanlife.operators.resident import BLOCK, ResidentRows, partition_count
 
 
@@ -91,3 +92,40 @@ def test_compared_models_share_their_stored_loans(spark, monkeypatch):
     monkeypatch.setattr(modelling, "cox_fit", lambda *a, **k: None)
     entry.queries()["model_comparison"](spark, "/root/testdata/sf0.001")
     assert sorted(stored) == ["design", "design", "model-macro-rows"]
+
+
+@pytest.mark.parametrize("hidden,passes", [((4,), 2), ((5, 4), 3), ((6, 5, 4), 4), ((5, 4, 4, 3), 6)])
+def test_an_epoch_needs_few_passes(spark, monkeypatch, hidden, passes):
+    """Sums of the norms come with the risk sums and the gradients; layer by layer they are the same."""
+    df = loans(spark)
+    w = MlpWeights.init(2, hidden, dropout=0.1)
+    design = Design(df, TIME, EVENT, [df["a"], df["b"], row_key(ID)])
+    rows = ResidentRows(design.rows, 3)
+    try:
+        trainer = Trainer(rows, 2, w, "efron")
+        trainer.gradient(1)
+        made, add_up = [], resident.add_up
+        monkeypatch.setattr(resident, "add_up", lambda *a: made.append(1) or add_up(*a))
+        loss, grads, stats, n = trainer.gradient(2)
+        assert len(made) == passes
+
+        t, e, x = rows.rdd.map(lambda own: own).collect()[0]
+        x = resident._wide(x, 0, n)
+        f, last, tape = w.forward(x[:, :2], x[:, 2], 2, stats)
+        sums = month_sums(*rows.month_table(lambda x, t, e: np.stack(
+            [v := np.exp(w.forward(x[:, :2], x[:, 2], 2, stats)[0]), v * e, np.log(v) * e, e], axis=1)))
+        sums.solve_ties(True)
+        a, b = sums.row_weights()
+        at = np.searchsorted(sums.t, t)
+        g = -(e - np.exp(f) * (a[at] - e * b[at])) / e.sum()
+        known = [None] * len(hidden)
+        for i in reversed(range(len(hidden))):
+            got = w.backward(g, last, tape, stats, known, n, i)
+            known[i] = (got[f"c{i}"], got[f"g{i}"])
+        want = w.backward(g, last, tape, stats, known, n)
+        assert set(want) == set(grads)
+        for k, v in want.items():
+            assert np.allclose(grads[k], v, rtol=1e-9, atol=1e-12), k
+    finally:
+        rows.close()
+        design.close()

@@ -208,3 +208,14 @@ def test_metrics_brute_force(spark):
     assert abs(row["brier"] - np.mean((p - y) ** 2)) < 1e-12
     same = metrics.binary_metrics(df.withColumn("p", F.lit(0.3)), "y", "p").first()
     assert same["auc"] == 0.5
+
+
+@pytest.mark.parametrize("ties", ["censored_later", "skip"])
+def test_concordance_of_few_rows_needs_no_buckets(spark, monkeypatch, ties):
+    from loanlife.operators import concordance as module
+    rows = [(float(i * 7 % 11) / 4 if i % 13 else None, 1 + i * 5 % 9, i % 3 % 2) for i in range(150)] * 2
+    df = spark.createDataFrame(rows, "r double, event_time_months int, prepay_observed int").repartition(5)
+    want = concordance(df, "r", ties=ties, buckets=8)
+    monkeypatch.setattr(module, "bucket_edges", lambda *a: pytest.fail("edges were looked for"))
+    assert concordance(df, "r", ties=ties) == want
+    assert np.isnan(concordance(df.where("r > 99"), "r", ties=ties))
