@@ -129,3 +129,59 @@ def test_an_epoch_needs_few_passes(spark, monkeypatch, hidden, passes):
     finally:
         rows.close()
         design.close()
+
+
+def test_rows_are_packed_before_they_are_dealt_out(spark, monkeypatch):
+    """Equal rows fill all partitions alike, and the table is read once, whatever it costs to make."""
+    monkeypatch.setattr(resident, "LEAST_ROWS", 400)
+    monkeypatch.setattr(resident, "PIECE_ROWS", 50)
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+    df = loans(spark, 1600).selectExpr(ID, f"5 AS {TIME}", EVENT, "1.5D AS a", "2.0D AS b")
+    df = df.repartition(3).mapInArrow(seen, df.schema)
+    design = Design(df, TIME, EVENT, [df["a"], df["b"]])
+    try:
+        n, events, mean, sd = design.moments()
+        held = [len(t) for t, e, x in design.held.rdd.collect()]
+        assert (n, sum(held), len(held)) == (1600, 1600, 4) and max(held) <= 500
+        assert read.value == 1600 and mean.tolist() == [1.5, 2.0] and sd.tolist() == [0.0, 0.0]
+    finally:
+        design.close()
+
+
+def test_moments_are_those_of_the_values_there_are(spark, monkeypatch):
+    monkeypatch.setattr(resident, "LEAST_ROWS", 100)
+    df = loans(spark).selectExpr(ID, TIME, EVENT, "IF(a > 1, NULL, a) AS a", "c + 1e6 AS c", "0.1D AS flat")
+    want = df.select("a", "c", "flat").toPandas()
+    design = Design(df, TIME, EVENT, [df["a"], df["c"], df["flat"]])
+    try:
+        n, events, mean, sd = design.moments()
+        assert n == 1500 and events == df.where(f"{EVENT} = 1").count()
+        assert np.allclose(mean, want.mean(), rtol=1e-13) and np.allclose(sd, want.std(), rtol=1e-11)
+        assert sd[2] == 0.0
+    finally:
+        design.close()
+    gone = df.selectExpr(ID, TIME, EVENT, "CAST(NULL AS DOUBLE) AS a")
+    for rows, message in ((gone, "no values"), (gone.limit(0), "no complete rows")):
+        with pytest.raises(ValueError, match=message):
+            Design(rows, TIME, EVENT, [rows["a"]]).moments()
+
+
+@pytest.mark.parametrize("few", [0, 16])
+def test_products_per_month_are_sums_of_products(spark, monkeypatch, few):
+    monkeypatch.setattr(resident, "FEW_MONTHS", few)
+    df = loans(spark)
+    design = Design(df, TIME, EVENT, [df["a"], df["c"]])
+    try:
+        months, got = design.held.month_products(
+            lambda x, t, e: (e[:, None], np.stack([e, x[:, 1]], axis=1), x))
+        for m, row in zip(months, got):
+            at = df.where(f"{TIME} = {int(m)}").toPandas()
+            want = [at[EVENT].sum(), *(at[w] @ at[z] for w in (EVENT, "c") for z in ("a", "c"))]
+            assert np.allclose(row, want)
+    finally:
+        design.close()
